@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import urls
+from tensorloom.llm import neardup, urls
 
 QUERIES = {
+    "op2_minhash_near_duplicates": neardup.query,
     "op9_url_filter": urls.query,
 }
 ORACLES = {
