@@ -168,3 +168,23 @@ def crc_of_id(column: str) -> Column:
 
 def held_out(column: str = "doc_id") -> Column:
     return (crc_of_id(column) % 3) == 1
+
+
+def rows_where(docs: DataFrame, keep, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts ``keep`` (a function of a list of texts) marks as true."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), bool)))
+
+    return docs.mapInArrow(run, fields)
+
+
+#: Up to so many ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key isn't among the ids, a written table with that one column."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import LOWER, forget, mixed, pieces, span_hashes, stored, text_buffer, words_of
+from tensorloom.llm.common import LOWER, MOST_IDS, forget, mixed, pieces, span_hashes, stored, text_buffer, words_of
 
 ROWS, BANDS = 4, 24
 HASHES = ROWS * BANDS
@@ -35,8 +35,6 @@ HASHES = ROWS * BANDS
 AGREE = 59
 #: Buckets of up to so many documents are searched by pairs, larger ones in blocks of so many rows.
 SMALL, BLOCK = 64, 512
-#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, they are joined by a shuffle.
-MOST_IDS = 1_000_000
 
 _seed = np.random.default_rng(20240229)
 FACTOR = _seed.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
