@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tensorloom.queries import search, tables, tensors
+
+QUERIES: dict = {**tensors.QUERIES, **search.QUERIES, **tables.QUERIES}
+ORACLES: dict = {**tensors.ORACLES, **search.ORACLES, **tables.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search.flagship(spark, sf_dir)
