@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import LOWER, MOST_IDS, forget, mixed, pieces, span_hashes, stored, text_buffer, words_of
@@ -35,6 +35,8 @@ HASHES = ROWS * BANDS
 AGREE = 59
 #: Buckets of up to so many documents are searched by pairs, larger ones in blocks of so many rows.
 SMALL, BLOCK = 64, 512
+#: Up to so many edges (16 bytes each) a step of the components runs in one task, without a shuffle; beyond, it is distributed.
+ONE_TASK = 1 << 20
 
 _seed = np.random.default_rng(20240229)
 FACTOR = _seed.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -122,23 +124,28 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node that isn't the smallest of its component; edges: (u, v) of longs. Alternates large-star and small-star."""
-    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, before = stored(pairs, "star"), None
-    while True:
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
-            return now.withColumnRenamed("v", "root")
-        before = state
+
+    def written(pairs: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        out = stored(pairs.distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "star")
+        return out, seen.get
+
+    now, state = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+    while state["n"]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
+        if state["n"] <= ONE_TASK:
+            both = both.coalesce(1)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.union(lowest.toDF("u", "v")).distinct(), "star")
-        forget(large)
+        before = state
+        after, state = written(small.union(lowest.toDF("u", "v")).coalesce(1) if state["n"] <= ONE_TASK else small.union(lowest.toDF("u", "v")))
         forget(now)
         now = after
+        if state == before:
+            break
+    return now.withColumnRenamed("v", "root")
 
 
 class _Search:
@@ -146,7 +153,6 @@ class _Search:
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs, width, percent
-        self.edges: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
     def sets(self, ids: DataFrame) -> DataFrame:
@@ -166,13 +172,16 @@ class _Search:
         forget(sets)
 
     def linked(self, edges: DataFrame) -> None:
-        self.edges.append(stored(edges, "links"))
-        every = self.edges[0]
-        for more in self.edges[1:]:
-            every = every.union(more)
-        old, self.roots = self.roots, components(every)
+        """Merges the components that the edges join; only their roots take part."""
+        ends = stored(self.rooted(self.rooted(edges, "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v"), "links")
+        merged = components(ends)
+        forget(ends)
+        old, self.roots = self.roots, merged
         if old is not None:
+            moved = old.join(merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "left").select("u", F.coalesce("to", "root").alias("root"))
+            self.roots = stored(moved.union(merged), "roots")
             forget(old)
+            forget(merged)
 
     def rooted(self, df: DataFrame, name: str, root: str) -> DataFrame:
         if self.roots is None:
@@ -270,18 +279,18 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     centre = F.min_by(F.struct("id", "n"), F.xxhash64("id", "key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), centre.alias("centre")).where("size > 1")
     near = stored(keyed.join(buckets, "key"), "buckets")
-    search.resolve(near.where("id <> centre.id").select(F.col("id").alias("x"), F.col("centre.id").alias("c"), F.col("n").alias("nx"), F.col("centre.n").alias("nc")), leaders, (1, 4))
+    search.resolve(near.where("id <> centre.id").select(F.col("id").alias("x"), F.col("centre.id").alias("c"), F.col("n").alias("nx"), F.col("centre.n").alias("nc")), leaders, (1,))
 
     small = stored(search.divided(near.where(F.col("size") <= SMALL)), "open")
     pairs = small.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(small.select("key", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc")), "key")
-    search.resolve(pairs.where(f"x > c AND rx <> rc AND least(nx, nc) * 100 >= greatest(nx, nc) * {percent}").select("x", "c", "nx", "nc"), leaders, (2,))
+    search.resolve(pairs.where(f"x > c AND rx <> rc AND least(nx, nc) * 100 >= greatest(nx, nc) * {percent}").select("x", "c", "nx", "nc"), leaders, ())
     large = stored(search.divided(near.where(F.col("size") > SMALL)), "open")
     if not large.isEmpty():
         search.across(large, leaders)
 
     final = search.rooted(base.select("id", "n", "d1", "d2").join(firsts, ["d1", "d2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep"))), "rep", "component")
     component = F.coalesce("component", "id")
-    for gone in (leaders, near, small, large, *search.edges):
+    for gone in (leaders, near, small, large):
         forget(gone)
     return final.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -68,3 +68,14 @@ def test_empty_table_null_ids_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, id int, component_id string")
     out = sorted((tuple(r) for r in neardup.classes(df, width=2).collect()), key=repr)
     assert out == sorted([(None, 2, None, True), (3, 2, 3, True), (3, 2, 3, True), (7, 2, 3, False)], key=repr)
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(neardup, "ONE_TASK", one_task)
+    rnd = random.Random(1)
+    path = rnd.sample(range(1000, 2000), 40)
+    edges = list(zip(path, path[1:])) + [(5, k) for k in range(6, 30)] + [(7, 7), (3000, 3001), (3001, 3000)]
+    got = {r.u: r.root for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {k: min(path) for k in path if k != min(path)} | {k: 5 for k in range(6, 30)} | {3001: 3000}
+    assert got == want
