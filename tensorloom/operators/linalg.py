@@ -401,15 +401,14 @@ def scalar_udf(kernel: Callable[..., float], *columns, shapes: list[list[int]])
     """A double from a kernel over dense columns of known shapes; rows where the kernel fails are null."""
 
     @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for row in zip(*batch):
-                try:
-                    out.append(None if any(x is None for x in row) else float(kernel(*[_tensor(x, s) for x, s in zip(row, shapes)])))
-                except (ValueError, np.linalg.LinAlgError):
-                    out.append(None)
-            yield pd.Series(out, dtype="float64")
+    def run(*batch: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*batch):
+            try:
+                out.append(None if any(x is None for x in row) else float(kernel(*[_tensor(x, s) for x, s in zip(row, shapes)])))
+            except (ValueError, np.linalg.LinAlgError):
+                out.append(None)
+        return pd.Series(out, dtype="float64")
 
     return run(*columns)
 
@@ -418,14 +417,13 @@ def array_udf(kernel: Callable[..., np.ndarray], *columns, shapes: list[list[int
     """A flat array of doubles from a kernel over dense columns of known shapes; rows where the kernel fails are null."""
 
     @F.pandas_udf("array<double>")
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for row in zip(*batch):
-                try:
-                    out.append(None if any(x is None for x in row) else np.ravel(kernel(*[_tensor(x, s) for x, s in zip(row, shapes)])).astype(float))
-                except (ValueError, np.linalg.LinAlgError):
-                    out.append(None)
-            yield pd.Series(out, dtype="object")
+    def run(*batch: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*batch):
+            try:
+                out.append(None if any(x is None for x in row) else np.ravel(kernel(*[_tensor(x, s) for x, s in zip(row, shapes)])).astype(float))
+            except (ValueError, np.linalg.LinAlgError):
+                out.append(None)
+        return pd.Series(out, dtype="object")
 
     return run(*columns)

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.sources.cut import written
+
 OPERATIONS = "operation_id string, operation_type string, status string, started_at timestamp, completed_at timestamp, user_id string, error_message string"
 EDGES = "child long, parent long, operation_id string"
 #: Steps a closure takes at most.
 DEPTH = 64
 
 
-def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth: int, fresh: bool) -> DataFrame:
+def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth: int) -> DataFrame:
     """(origin, node, depth), the least depth of each, by breadth-first steps; cycles end as known nodes aren't visited again."""
-    found = None
-    frontier = start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0))
+    frontier = written(start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0)), "lineage")
     found = frontier
     for step in range(1, depth + 1):
         reached = frontier.join(edges.select(F.col(source).alias("node"), F.col(target).alias("_to")), "node").select("origin", F.col("_to").alias("node")).distinct()
-        new = reached.join(found.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(step))
-        new = new.checkpoint() if fresh else new.persist()
+        new = written(reached.join(found.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(step)), "lineage")
         if new.isEmpty():
             break
         found = found.union(new)
@@ -27,13 +27,13 @@ def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth
     return found.where("depth > 0")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, depth: int = DEPTH, checkpoint: bool = False) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(origin, node, depth) above each start node; start: a table with column node."""
-    return _closure(edges, start, "child", "parent", depth, checkpoint)
+    return _closure(edges, start, "child", "parent", depth)
 
 
-def descendants(edges: DataFrame, start: DataFrame, depth: int = DEPTH, checkpoint: bool = False) -> DataFrame:
-    return _closure(edges, start, "parent", "child", depth, checkpoint)
+def descendants(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+    return _closure(edges, start, "parent", "child", depth)
 
 
 def recursive_closure(spark, edges: DataFrame, node: int, up: bool = True, depth: int = DEPTH) -> DataFrame:

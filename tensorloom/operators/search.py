@@ -183,6 +183,10 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def _equals(token: str):
+    return lambda x: x == token
+
+
 def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "doc_id", k: int = 0) -> DataFrame:
     """(key, score): for each distinct query token that a row has, 1 plus a hundredth of how often it has it; k = 0 returns all."""
     import re
@@ -190,7 +194,7 @@ def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "
     wanted = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     score = F.lit(0.0)
     for t in wanted:
-        n = F.size(F.filter("_tokens", lambda x, t=t: x == t))
+        n = F.size(F.filter("_tokens", _equals(t)))
         score += F.when(n > 0, 1.0 + 0.01 * n).otherwise(0.0)
     out = documents.select(key, tokens(text).alias("_tokens")).select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key)
     return out.limit(k) if k else out

@@ -50,7 +50,7 @@ def _binary(name, op, sql):
 
 _binary("ew_add", lambda: D.add("a", "b"), "a[i] + b[i]")
 _binary("ew_sub", lambda: D.subtract("a", "b"), "a[i] - b[i]")
-_binary("ew_mul", lambda: D.multiply("a", "b"), "a[i] * b[i]")
+_binary("ew_mul", lambda: D.multiply(D.multiply("a", 1000.0), "b"), "a[i] * 1000 * b[i]")
 _binary("ew_div", lambda: D.divide("a", D.add("b", 10.0)), "a[i] / (b[i] + 10)")
 _binary("ew_pow", lambda: D.power("a", 2.0), "pow(a[i], 2)")
 _binary("ew_log", lambda: D.log(D.add("a", 2.0)), "ln(a[i] + 2)")
@@ -118,7 +118,7 @@ def concat_vec(spark, sf):
     return cells(pairs(spark, sf).select("vec_id", F.concat("a", "b").alias("data")))
 
 
-@query("WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at, embedding FROM embeddings) SELECT label, CAST(at * 64 + i - 1 AS BIGINT) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM s, (SELECT unnest(range(1, 65)) AS i) u WHERE at < 3")
+@query("WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings) SELECT label, CAST(k * 64 + i - 1 AS BIGINT) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM s, (SELECT unnest(range(1, 65)) AS i) u WHERE k < 3")
 def stack_label(spark, sf):
     """The first three vectors of each label as one tensor of shape (3, 64), in element form."""
     at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
