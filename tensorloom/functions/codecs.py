@@ -28,8 +28,12 @@ def int8(data) -> Column:
     constant = high == low
     scale = F.when(constant, F.lit(1.0)).otherwise((high - low) / 255)
     zero = F.when(constant, F.lit(0)).otherwise((-128 - low / scale).cast("bigint"))
-    values = F.transform(d, lambda x: F.greatest(F.least(F.rint(x.cast("double") / scale) + zero, F.lit(127.0)), F.lit(-128.0)).cast("int"))
-    return F.struct(F.when(constant, F.transform(d, lambda x: F.lit(0))).otherwise(values).alias("values"), F.when(constant, low).otherwise(scale).alias("scale"), zero.alias("zero_point"), constant.alias("constant"))
+
+    def coded(s: Column) -> Column:
+        values = F.transform(d, lambda x: F.when(s["constant"], F.lit(0)).otherwise(F.greatest(F.least(F.rint(x.cast("double") / s["scale"]) + s["zero"], F.lit(127.0)), F.lit(-128.0)).cast("int")))
+        return F.struct(values.alias("values"), F.when(s["constant"], s["low"]).otherwise(s["scale"]).alias("scale"), s["zero"].alias("zero_point"), s["constant"].alias("constant"))
+
+    return D.bound(F.struct(low.alias("low"), scale.alias("scale"), zero.alias("zero"), constant.alias("constant")), coded)
 
 
 def from_int8(code) -> Column:
@@ -42,7 +46,11 @@ def sq8(data) -> Column:
     d = _c(data)
     low, high = F.array_min(d).cast("double"), F.array_max(d).cast("double")
     scale = F.when(high == low, F.lit(1.0)).otherwise((high - low) / 255)
-    return F.struct(F.transform(d, lambda x: F.round((x.cast("double") - low) / scale).cast("int")).alias("values"), low.alias("low"), scale.alias("scale"))
+
+    def coded(s: Column) -> Column:
+        return F.struct(F.transform(d, lambda x: F.round((x.cast("double") - s["low"]) / s["scale"]).cast("int")).alias("values"), s["low"].alias("low"), s["scale"].alias("scale"))
+
+    return D.bound(F.struct(low.alias("low"), scale.alias("scale")), coded)
 
 
 def from_sq8(code) -> Column:

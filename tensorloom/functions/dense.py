@@ -26,6 +26,11 @@ def doubles(data) -> Column:
     return F.transform(_col(data), lambda x: x.cast("double"))
 
 
+def bound(value, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, also where f uses it inside a lambda over elements."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 # element-wise
 
 
@@ -154,8 +159,7 @@ def mean(data) -> Column:
 
 
 def variance(data, unbiased: bool = False) -> Column:
-    centre = mean(data)
-    squares = F.aggregate(_col(data), F.lit(0.0), lambda acc, x: acc + (x.cast("double") - centre) * (x.cast("double") - centre))
+    squares = bound(mean(data), lambda centre: F.aggregate(_col(data), F.lit(0.0), lambda acc, x: acc + (x.cast("double") - centre) * (x.cast("double") - centre)))
     return F.try_divide(squares, F.size(_col(data)) - (1 if unbiased else 0))
 
 

@@ -183,10 +183,6 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def _equals(token: str):
-    return lambda x: x == token
-
-
 def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "doc_id", k: int = 0) -> DataFrame:
     """(key, score): for each distinct query token that a row has, 1 plus a hundredth of how often it has it; k = 0 returns all."""
     import re
@@ -194,9 +190,9 @@ def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "
     wanted = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     score = F.lit(0.0)
     for t in wanted:
-        n = F.size(F.filter("_tokens", _equals(t)))
+        n = F.regexp_count("_text", F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))
         score += F.when(n > 0, 1.0 + 0.01 * n).otherwise(0.0)
-    out = documents.select(key, tokens(text).alias("_tokens")).select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key)
+    out = documents.select(key, F.lower(text).alias("_text")).select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key)
     return out.limit(k) if k else out
 
 
@@ -207,5 +203,11 @@ def facets(documents: DataFrame, field: str) -> DataFrame:
 def hashed_embedding(text: str, size: int = 64) -> Column:
     """An offline stand-in for a text encoder: counts of token hashes, normalised."""
     codes = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(codes, lambda c: c == i)).cast("double"))
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, D.frobenius_norm(raw)), F.lit(0.0)))
+
+    def counts(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda c: c == i)).cast("double"))
+
+    def normalised(raw: Column) -> Column:
+        return D.bound(D.frobenius_norm(raw), lambda n: F.transform(raw, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
+
+    return D.bound(D.bound(codes, counts), normalised)

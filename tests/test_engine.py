@@ -12,7 +12,8 @@ from tensorloom.streaming import feeds
 
 
 def one(spark, column, rows=None, schema="a array<double>, b array<double>"):
-    return spark.createDataFrame(rows or [([1.0, 2.0, 4.0], [2.0, 0.0, 8.0])], schema).select(column.alias("x")).first().x
+    rows = [tuple([float(x) for x in v] for v in row) for row in rows or [([1.0, 2.0, 4.0], [2.0, 0.0, 8.0])]]
+    return spark.createDataFrame(rows, schema).select(column.alias("x")).first().x
 
 
 def test_dense_functions(spark):
@@ -32,6 +33,7 @@ def test_dense_functions(spark):
 
 def test_descriptor_and_properties(spark):
     rows = [("sym", [3, 3], [1.0, 2, 3, 2, 4, 5, 3, 5, 6]), ("eye", [2, 2], [1.0, 0, 0, 1]), ("diag", [3, 3], [1.0, 0, 0, 0, 2, 0, 0, 0, 3]), ("vec", [3], [1.0, 2, 2]), ("wide", [2, 3], [1.0, 0, 0, 0, 0, 0]), ("empty", [0], [])]
+    rows = [(i, s, [float(x) for x in d]) for i, s, d in rows]
     t = descriptor.described(spark.createDataFrame(rows, "tensor_id string, shape array<bigint>, data array<double>")).persist()
 
     def ids(test):
@@ -134,7 +136,7 @@ def test_codecs(spark):
     assert all(r.back == r.data for r in t.withColumn("back", codecs.from_sparse(codecs.sparse("data"), F.size("data"))).collect())
     assert all(r.back == r.data for r in t.withColumn("back", codecs.inflated(codecs.deflated("data"))).collect())
     assert t.select(codecs.float16("data").alias("h")).count() == 4
-    assert {r.tensor_id: r.c for r in t.select("tensor_id", codecs.codec_choice("data", [4, 6]).alias("c")).collect()} == {1: "lowrank", 2: "lowrank", 3: "lowrank", 4: "coo"}
+    assert {r.tensor_id: r.c for r in t.select("tensor_id", codecs.codec_choice("data", [4, 6]).alias("c")).collect()} == {1: "sq8", 2: "lowrank", 3: "lowrank", 4: "coo"}
     blocks = codecs.chunked(t, "tensor_id", 7)
     assert {r.tensor_id: r.data for r in codecs.rebuilt(blocks, "tensor_id").collect()} == dict(rows)
     assert {r.tensor_id: r.data for r in codecs.rebuilt(codecs.chunk_map(blocks, lambda x: x * 2), "tensor_id").collect()} == {i: [2 * x for x in d] for i, d in rows}
