@@ -9,7 +9,7 @@ its clauses' scores, and a logistic regression turns them into a probability.
 What insults look like is learned: prefixes of words that occur in more toxic than clean labelled texts, added
 to a short seed list. Only rows whose crc32(doc_id) mod 3 isn't 1 teach, at most ``TRAIN`` of them (those with
 the smallest hashes of their ids), of which near copies count once. The regression is fitted on features that
-lexicons of the other half of the rows give, so words that a lexicon has by chance earn no trust.
+lexicons of the other folds of the rows give, so words that a lexicon has by chance earn no trust.
 
 Defined results: null and wordless texts have no clause and get the score of a text without insults; a
 repeated row is scored each time; without usable labels the seed list and fixed coefficients are used.
@@ -27,11 +27,16 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import crc_of_id, held_out, mixed, pieces, span_hashes, stored, table, text_buffer
 
+#: From this score on a text counts as toxic.
+THRESHOLD = 0.7
 #: Labelled rows that teach at most.
 TRAIN = 8_000
+#: Parts of the teaching rows; the regression sees each with a lexicon of the others.
+FOLDS = 5
 #: Bytes of a prefix, least number of toxic texts, least log-odds and least evidence (G) of a learned insult.
 PREFIX, LEAST_TEXTS, LEAST_ODDS, LEAST_G = range(3, 13), 3, 1.5, 9.0
-SEEDS = """idiot moron stupid pathetic worthless loser scum trash disgusting clown fool dumb imbecile garbage vermin
+#: Written down without regard to the tables; words seen in labelled texts are left to the learned lexicon.
+SEEDS = """fool dumb imbecile garbage vermin
 dummkopf trottel abschaum wertlos widerlich imbécile crétin ordure minable stupide estúpido imbécil basura escoria inútil""".split()
 THREATS = "kill hurt destroy beat burn smash shoot töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split()
 TARGETS = "you your yours he him she her they them du dich dir ihr sie euch tu toi vous ils elles tú usted ustedes ellos ellas".split()
@@ -257,7 +262,7 @@ def _counted(candidates: dict[int, np.ndarray] | None):
     """Texts by prefix, of the candidates if given: rows (length, prefix, above, fold, texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], dict[int, int]] = {0: {}, 1: {}}
+        total: dict[int, dict[tuple[int, int], int]] = {f: {} for f in range(FOLDS)}
         above: dict[tuple[int, int], int] = {}
         for batch in pieces(batches, "text"):
             words, fold = Words(batch.column("text").to_pylist()), batch.column("fold").to_numpy()
@@ -276,7 +281,7 @@ def _counted(candidates: dict[int, np.ndarray] | None):
                 unique, index = np.unique(prefix, return_inverse=True)
                 each = np.unique(row[has] * (len(unique) + 1) + index[of[which[has]]])
                 r, u = np.divmod(each, len(unique) + 1)
-                for f in (0, 1):
+                for f in range(FOLDS):
                     n = np.bincount(u[fold[r] == f], minlength=len(unique))
                     for j in np.flatnonzero(n).tolist():
                         key = (k, int(unique[j]))
@@ -285,7 +290,7 @@ def _counted(candidates: dict[int, np.ndarray] | None):
                     for j, p in zip(who.tolist(), prefix.tolist()):
                         above[k, p] = int(shorter[j])
                     shorter[who] = prefix
-        rows = [(k, h, above.get((k, h), 0), f, n) for f in (0, 1) for (k, h), n in total[f].items() if candidates is not None or n]
+        rows = [(k, h, above.get((k, h), 0), f, n) for f in range(FOLDS) for (k, h), n in total[f].items()]
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(np.array(columns[1], np.uint64).view(np.int64)), pa.array(np.array(columns[2], np.uint64).view(np.int64)), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64())], names=["k", "prefix", "above", "fold", "n"])
 
@@ -296,8 +301,13 @@ _COUNTS = "k int, prefix long, above long, fold int, n long"
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray, seen: np.ndarray | None = None, labels: np.ndarray | None = None):
         self.lexicon, self.weights = lexicon, weights
+        # of the teaching rows alone: hits, misses and false alarms at the threshold, with lexicons that don't know them
+        self.cross = None
+        if seen is not None:
+            said = 1 / (1 + np.exp(-np.clip(seen @ weights, -30, 30))) >= THRESHOLD
+            self.cross = int((said & (labels == 1)).sum()), int((~said & (labels == 1)).sum()), int((said & (labels == 0)).sum())
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(shaped(features(texts, self.lexicon)) @ self.weights, -30, 30)))
@@ -309,35 +319,38 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(TRAIN)
     sample = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(marks), "id")
     signed = sample.mapInArrow(_signed, "id long, text string, toxic int, sign long").dropDuplicates(["sign", "toxic"])
-    train = stored(signed.withColumn("fold", (crc_of_id("id") / 3).cast("long").bitwiseAND(1).cast("int")), "train")
+    train = stored(signed.withColumn("fold", F.pmod((crc_of_id("id") / 3).cast("long"), F.lit(FOLDS)).cast("int")), "train")
     sizes = {(r.toxic, r.fold): r.n for r in train.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
     if not any(k[0] == 1 for k in sizes) or not any(k[0] == 0 for k in sizes):
         return Model(Lexicon({}), FALLBACK)
     # what reaches the driver is bounded by TRAIN: prefixes of several toxic texts of the sample, and their counts
     toxic = train.where("toxic = 1").select("text", "fold").mapInArrow(_counted(None), _COUNTS)
-    toxic = toxic.groupBy("k", "prefix").agg(F.max("above").alias("above"), *[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"a{f}") for f in (0, 1)])
-    rows = toxic.where(f"a0 + a1 >= {LEAST_TEXTS}").collect()
+    toxic = toxic.groupBy("k", "prefix").agg(F.max("above").alias("above"), *[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"a{f}") for f in range(FOLDS)])
+    rows = toxic.where(" + ".join(f"a{f}" for f in range(FOLDS)) + f" >= {LEAST_TEXTS}").collect()
     unsigned = lambda x: x & 0xFFFFFFFFFFFFFFFF
-    positive = {(r.k, unsigned(r.prefix)): (r.a0, r.a1) for r in rows}
+    positive = {(r.k, unsigned(r.prefix)): tuple(r[f"a{f}"] for f in range(FOLDS)) for r in rows}
     known = {h: key for key in positive for h in (key[1],)}
     parents = {(r.k, unsigned(r.prefix)): known.get(unsigned(r.above)) for r in rows}
     candidates = {k: np.array(sorted(h for n, h in positive if n == k), np.uint64) for k in PREFIX}
     clean = train.where("toxic = 0").select("text", "fold").mapInArrow(_counted(candidates), _COUNTS)
     negative = {(r.k, unsigned(r.prefix), r.fold): r.n for r in clean.groupBy("k", "prefix", "fold").agg(F.sum("n").alias("n")).collect()}
     lexicons = []
-    for folds in ((0,), (1,), (0, 1)):
+    for folds in ([f for f in range(FOLDS) if f != out] for out in range(FOLDS + 1)):  # the last one has all
         counts = {key: (sum(a[f] for f in folds), sum(negative.get((*key, f), 0) for f in folds)) for key, a in positive.items()}
         lexicons.append(Lexicon(chosen(counts, sum(sizes.get((1, f), 0) for f in folds), sum(sizes.get((0, f), 0) for f in folds), parents)))
 
     def out_of_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
-            x = np.where(fold[:, None] == 0, features(texts, lexicons[1]), features(texts, lexicons[0]))
+            x = np.zeros((len(texts), 4))
+            for f in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == f)
+                x[own] = features([texts[i] for i in own], lexicons[f])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *[pa.array(c) for c in x.T]], names=["id", "toxic", "a", "b", "c", "d"])
 
     seen = train.mapInArrow(out_of_fold, "id long, toxic int, a double, b double, c double, d double").orderBy("id").toPandas()
     weights = fitted(shaped(seen[["a", "b", "c", "d"]].to_numpy(float)), seen["toxic"].to_numpy(float))
-    return Model(lexicons[2], weights)
+    return Model(lexicons[FOLDS], weights, shaped(seen[["a", "b", "c", "d"]].to_numpy(float)), seen["toxic"].to_numpy(int))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -350,10 +363,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
-#: From this score on a text counts as toxic.
-THRESHOLD = 0.7
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, learned(docs, table(spark, sf_dir, "labels")))

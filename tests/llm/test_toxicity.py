@@ -41,7 +41,7 @@ def test_learned_insults_and_held_out_rows(spark, tmp_path):
                 words[rnd.integers(30)] = "zorg" + rnd.choice(["ling", "ant", "ude"])
         rows.append((i, " ".join(words) + "."))
         labels.append((i, 1, toxic))
-    rows += [(1000, None), (1001, ""), (1002, "You idiot! Pathetic moron, you are scum."), (1003, "word " * 40000), (1004, "\n.\n")]
+    rows += [(1000, None), (1001, ""), (1002, "You fool! Dumb imbecile, you are vermin."), (1003, "word " * 40000), (1004, "\n.\n")]
     labels += [(5, None, None), (None, 1, 1), (7000, 1, 1)]
     write(spark, tmp_path, rows, labels)
     out = {r.doc_id: r for r in toxicity.query(spark, str(tmp_path)).collect()}
@@ -53,7 +53,7 @@ def test_learned_insults_and_held_out_rows(spark, tmp_path):
 
 def test_no_labels_and_empty_tables(spark, tmp_path):
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
-    write(spark, tmp_path / "a", [(1, "you idiot, you moron"), (2, "fine"), (2, "fine")], [])
+    write(spark, tmp_path / "a", [(1, "you fool, you imbecile"), (2, "fine"), (2, "fine")], [])
     assert sorted((r.doc_id, r.predicted) for r in toxicity.query(spark, str(tmp_path / "a")).collect()) == [(1, 1), (2, 0), (2, 0)]
     write(spark, tmp_path / "b", [], [])
     assert toxicity.query(spark, str(tmp_path / "b")).count() == 0
