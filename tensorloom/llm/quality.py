@@ -1,7 +1,8 @@
 """Quality classifier without labels: overlapping heuristics vote, EM weighs them, a hashed linear scorer learns.
 
 Eight heuristic labellers look at the shape of a text (capitals, symbols, repeated words, bars, sentence ends,
-distinct words, word lengths, text length) and vote good, bad or nothing. How often each pattern of votes
+distinct words, word lengths, garbled words) and vote good, bad or nothing; an abstention says nothing about a
+text, as most labellers abstain on short ones. How often each pattern of votes
 occurs (at most 3**8 counts, over all rows) is all that expectation-maximisation needs to estimate how each labeller
 votes on good and on bad texts. The posteriors of up to ``TRAIN`` rows (those with the smallest hashes of their
 ids) teach a logistic regression on hashed pairs of word shapes, which scores every row.
@@ -23,7 +24,7 @@ from tensorloom.llm.common import mixed, pieces, span_hashes, table, text_buffer
 
 #: Rows that teach the linear scorer at most, hashed features, least score of a good text.
 TRAIN, BUCKETS, THRESHOLD = 4_000, 1024, 0.5
-LABELLERS = ("capitals", "symbols", "repeats", "bars", "sentences", "distinct", "lengths", "short")
+LABELLERS = ("capitals", "symbols", "repeats", "bars", "sentences", "distinct", "lengths", "garbled")
 BAD, NONE, GOOD = 0, 1, 2
 
 #: Classes of bytes: letters, capitals, digits, other characters, white space.
@@ -55,6 +56,8 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     order = np.lexsort((hashes, row))
     fresh = np.ones(len(row), bool)
     fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
+    # characters other than letters before a byte, to find those inside words
+    strange = np.concatenate([[0], np.cumsum((_class[data] != ord("a")) & (_class[data] != ord("A")))])
     small = (data >= 97) & (data < 123)
     capital = (data >= 65) & (data < 91)
     letters = np.maximum(_sums(small | capital, starts), 1)
@@ -68,6 +71,7 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         "ends": np.bincount(row, _stop[data[end - 1]] if len(end) else None, n) / safe,
         "distinct": np.bincount(row[order], fresh, n) / np.sqrt(safe) / np.sqrt(np.minimum(safe, 400)),
         "length": np.bincount(row, end - begin, n) / safe,
+        "garbled": np.bincount(row, strange[np.maximum(end - 1, begin + 1)] > strange[np.minimum(begin + 1, end)], n) / safe,
     }
 
 
@@ -86,7 +90,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
         vote((s["ends"] < 0.01) | (s["ends"] > 0.6), (s["ends"] > 0.02) & (s["ends"] < 0.35), long),
         vote(s["distinct"] < 0.15, s["distinct"] > 0.35, long),
         vote((s["length"] < 2.5) | (s["length"] > 16), (s["length"] > 3.5) & (s["length"] < 11), long),
-        vote(s["words"] < 3, s["words"] >= 8),
+        vote(s["garbled"] > 0.25, s["garbled"] < 0.05),
     ]).astype(np.int64)
 
 
@@ -96,13 +100,15 @@ _powers = 3 ** np.arange(len(LABELLERS))
 def estimated(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
     """EM over the patterns of votes: P(vote | bad or good) for each labeller, and the share of good texts."""
     v = (patterns[:, None] // _powers) % 3
-    good = np.clip(0.5 + 0.25 * ((v == GOOD).sum(1) - 2.5 * (v == BAD).sum(1)), 0.02, 0.98)
+    # to begin with, a vote for bad makes a text doubtful, several make it bad
+    good = np.choose(np.minimum((v == BAD).sum(1), 2), [0.9, 0.3, 0.1])
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
         share = (weight[1].sum() + 1) / (weight.sum() + 2)
-        # a labeller's votes on each kind of text; counts of 1 for smoothing
+        # a labeller's votes on each kind of text, where it votes; counts of 1 for smoothing
         tables = np.stack([[np.bincount(v[:, k], w, 3) + 1 for k in range(v.shape[1])] for w in weight])
-        tables = tables / tables.sum(-1, keepdims=True)
+        tables = tables / (tables[..., BAD] + tables[..., GOOD])[..., None]
+        tables[..., NONE] = 1
         new = posterior(v, tables, share)
         if np.abs(new - good).max() < 1e-9:
             break
