@@ -52,12 +52,12 @@ def _leaf(node: Node, at: int) -> Column:
     return F.when(_before(node.order, node.cut), _leaf(node.left, at - 1)).otherwise(_leaf(node.right, at - 1))
 
 
-def _cuts(points: DataFrame, nodes: dict[int, Node], orders: dict[int, tuple], wanted: dict[int, float], slack: float) -> dict[int, tuple]:
-    """For each node the point, in its order of columns, before which about the wanted bytes lie."""
+def _cuts(points: DataFrame, nodes: dict[int, Node], orders: dict[int, tuple], bounds: dict[int, dict], wanted: dict[int, float], slack: float) -> dict[int, tuple]:
+    """For each node the point, in its order of columns, before which about the wanted bytes lie; bounds: least and greatest value of each column."""
     done: dict[int, tuple] = {}
     fixed: dict[int, tuple] = {n: () for n in nodes}
     low: dict[int, float] = {n: 0.0 for n in nodes}
-    span: dict[int, tuple | None] = {n: None for n in nodes}
+    span = {n: bounds[n][orders[n][0]] for n in nodes}
     while len(done) < len(nodes):
         active = [n for n in nodes if n not in done]
 
@@ -68,13 +68,8 @@ def _cuts(points: DataFrame, nodes: dict[int, Node], orders: dict[int, tuple], w
             out = F.col("node") == n
             for c, v in zip(orders[n], fixed[n]):
                 out &= F.col(c) == v
-            return out & value(n).between(*span[n]) if span[n] else out
+            return out & value(n).between(*span[n])
 
-        if unknown := [n for n in active if span[n] is None]:
-            which = F.coalesce(*[F.when(inside(n), F.lit(n)) for n in unknown])
-            what = F.coalesce(*[F.when(F.col("node") == n, value(n)) for n in unknown])
-            for r in points.select(which.alias("n"), what.alias("v")).where("n IS NOT NULL").groupBy("n").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect():
-                span[r.n] = (r.a, r.b)
         step = {n: max(1, -(-(span[n][1] - span[n][0] + 1) // BINS)) for n in active}
         which = F.coalesce(*[F.when(inside(n), F.lit(n)) for n in active])
         # in decimals, as the range of a dimension may be wider than a long
@@ -94,7 +89,8 @@ def _cuts(points: DataFrame, nodes: dict[int, Node], orders: dict[int, tuple], w
                 place = start if wanted[n] - total < total + w - wanted[n] else start + step[n]
                 done[n] = (*fixed[n], place, *rest)
             elif step[n] == 1:
-                fixed[n], span[n] = (*fixed[n], start), None
+                fixed[n] = (*fixed[n], start)
+                span[n] = bounds[n][orders[n][len(fixed[n])]]
             else:
                 span[n] = (start, min(start + step[n] - 1, span[n][1]))
     return done
@@ -107,7 +103,7 @@ def shards(docs: DataFrame, count: int, dimensions: tuple[str, ...], size: str =
     points = ready.select(F.col(size).cast("long").alias("size"), *names.values(), "__key")
     points = stored(points, "points")
     columns = list(names.values())
-    edges = [f(c).alias(f"{k}{c}") for c in columns for k, f in (("a", F.min), ("b", F.max))]
+    edges = [f(c).alias(f"{k}{c}") for c in (*columns, "__key") for k, f in (("a", F.min), ("b", F.max))]
     root = Node(count, 0)
     whole, level, depth = None, [root], 0
     while level := [n for n in level if n.leaves > 1]:
@@ -117,13 +113,14 @@ def shards(docs: DataFrame, count: int, dimensions: tuple[str, ...], size: str =
         nodes = {n.first: n for n in level if n.first in boxes}
         if not nodes:
             break
-        orders, wanted = {}, {}
+        orders, wanted, bounds = {}, {}, {}
         for k, n in nodes.items():
             width = {c: (boxes[k]["b" + c] - boxes[k]["a" + c]) / max(1, whole["b" + c] - whole["a" + c]) for c in columns}
             widest = max(columns, key=lambda c: (width[c], -columns.index(c)))
             orders[k] = (widest, *[c for c in columns if c != widest], "__key")
+            bounds[k] = {c: (boxes[k]["a" + c], boxes[k]["b" + c]) for c in orders[k]}
             wanted[k] = boxes[k].w * (n.leaves // 2) / n.leaves
-        cuts = _cuts(placed, nodes, orders, wanted, TOLERANCE * whole.w / count)
+        cuts = _cuts(placed, nodes, orders, bounds, wanted, TOLERANCE * whole.w / count)
         level = []
         for k, n in nodes.items():
             half = n.leaves // 2
