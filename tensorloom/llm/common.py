@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -14,7 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch at most, unless the session sets another number: texts may be long, and batches lie outside the heap.
+BATCH_ROWS = 1000
+_rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_rows_key, None) is None:
+        spark.conf.set(_rows_key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +65,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps Python workers for later tasks, and what each holds on to would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about ``most`` text bytes, one row at least: what a task holds at once stays bounded."""
     for batch in batches:
@@ -68,6 +85,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             end = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
             yield batch.slice(first, end - first)
             first = end
+    give_back()
 
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
