@@ -14,17 +14,21 @@ rows of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import numbered, stored, table
+from tensorloom.llm.common import forget, numbered, stored, table
 
 BINS = 1024
 #: Share of a shard's bytes by which a cut may miss its place.
 TOLERANCE = 0.002
 LEAST = -(1 << 63)
+KEY = "__key"
 
 
 @dataclass
@@ -37,44 +41,94 @@ class Node:
     right: Node | None = None
 
 
-def _before(columns: tuple, cut: tuple) -> Column:
-    """Whether the columns come before the cut in lexicographic order."""
-    out = F.col(columns[-1]) < cut[-1]
-    for c, v in reversed(list(zip(columns[:-1], cut[:-1]))):
-        out = (F.col(c) < v) | ((F.col(c) == v) & out)
+def _before(values: list[np.ndarray], cut: tuple) -> np.ndarray:
+    """Whether points come before the cut in lexicographic order."""
+    out = values[-1] < cut[-1]
+    for v, c in reversed(list(zip(values[:-1], cut[:-1]))):
+        out = (v < c) | ((v == c) & out)
     return out
 
 
-def _leaf(node: Node, at: int) -> Column:
-    """The number of the node of depth ``at`` (or the leaf above it) that a row lies in, as first shard of that node."""
-    if node.left is None or not at:
-        return F.lit(node.first)
-    return F.when(_before(node.order, node.cut), _leaf(node.left, at - 1)).otherwise(_leaf(node.right, at - 1))
+def leaf_of(root: Node, columns: dict[str, np.ndarray]) -> np.ndarray:
+    """For each point the first shard of the lowest node, as the tree is so far, that it lies in."""
+    out = np.zeros(len(columns[KEY]), np.int32)
+    todo = [(root, np.arange(len(out)))]
+    while todo:
+        node, own = todo.pop()
+        if node.left is None:
+            out[own] = node.first
+        elif len(own):
+            left = _before([columns[c][own] for c in node.order], node.cut)
+            todo += [(node.left, own[left]), (node.right, own[~left])]
+    return out
 
 
-def _cuts(points: DataFrame, nodes: dict[int, Node], orders: dict[int, tuple], bounds: dict[int, dict], wanted: dict[int, float], slack: float) -> dict[int, tuple]:
+def _points(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of 65,536 rows at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 1 << 16:
+            yield {c: np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in held]) for c in names}
+            held, rows = [], 0
+    if rows:
+        yield {c: np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in held]) for c in names}
+
+
+def _boxes(points: DataFrame, root: Node, columns: list[str]) -> dict[int, dict[str, int]]:
+    """For each node its bytes (``w``), and the least (``a``) and greatest (``b``) value of each column."""
+    read = points.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for part in _points(batches, read):
+            leaf = leaf_of(root, part)
+            for n in np.unique(leaf).tolist():
+                own = leaf == n
+                rows.append((n, int(part["size"][own].sum()), *[int(f(part[c][own])) for c in columns for f in (np.min, np.max)]))
+        names = ["node", "w", *[e + c for c in columns for e in "ab"]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(names), [pa.int32()] + [pa.int64()] * (len(names) - 1))], names=names)
+
+    ends = [f"{e}{c}" for c in columns for e in "ab"]
+    found = points.mapInArrow(run, ", ".join(["node int", "w long", *[f"`{e}` long" for e in ends]]))
+    rows = found.groupBy("node").agg(F.sum("w").alias("w"), *[(F.min if e[0] == "a" else F.max)(e).alias(e) for e in ends]).collect()
+    return {r.node: r.asDict() for r in rows}
+
+
+def _histograms(points: DataFrame, root: Node, looked: dict[int, tuple]) -> list:
+    """Bytes by node and range; looked: for each node its columns, the values that the first of them are fixed at, bounds and step of the next."""
+    read = points.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {n: np.zeros(BINS, np.int64) for n in looked}
+        for part in _points(batches, read):
+            leaf = leaf_of(root, part)
+            for n, (order, fixed, (low, high), step) in looked.items():
+                own = leaf == n
+                for c, v in zip(order, fixed):
+                    own &= part[c] == v
+                value = part[order[len(fixed)]]
+                own &= (value >= low) & (value <= high)
+                # differences as unsigned numbers, as the range of a dimension may be wider than a long
+                bins = (value[own].view(np.uint64) - np.array(low, np.int64).view(np.uint64)) // np.uint64(step)
+                np.add.at(total[n], bins.astype(np.int64), part["size"][own])
+        rows = [(n, b, w) for n, sums in total.items() for b, w in enumerate(sums.tolist()) if w]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int32(), pa.int64()))], names=["n", "b", "w"])
+
+    return points.mapInArrow(run, "n int, b int, w long").groupBy("n", "b").agg(F.sum("w").alias("w")).collect()
+
+
+def _cuts(points: DataFrame, root: Node, orders: dict[int, tuple], bounds: dict[int, dict], wanted: dict[int, float], slack: float) -> dict[int, tuple]:
     """For each node the point, in its order of columns, before which about the wanted bytes lie; bounds: least and greatest value of each column."""
     done: dict[int, tuple] = {}
-    fixed: dict[int, tuple] = {n: () for n in nodes}
-    low: dict[int, float] = {n: 0.0 for n in nodes}
-    span = {n: bounds[n][orders[n][0]] for n in nodes}
-    while len(done) < len(nodes):
-        active = [n for n in nodes if n not in done]
-
-        def value(n):
-            return F.col(orders[n][len(fixed[n])])
-
-        def inside(n):
-            out = F.col("node") == n
-            for c, v in zip(orders[n], fixed[n]):
-                out &= F.col(c) == v
-            return out & value(n).between(*span[n])
-
+    fixed: dict[int, tuple] = {n: () for n in orders}
+    low: dict[int, float] = {n: 0.0 for n in orders}
+    span = {n: bounds[n][orders[n][0]] for n in orders}
+    while len(done) < len(orders):
+        active = [n for n in orders if n not in done]
         step = {n: max(1, -(-(span[n][1] - span[n][0] + 1) // BINS)) for n in active}
-        which = F.coalesce(*[F.when(inside(n), F.lit(n)) for n in active])
-        # in decimals, as the range of a dimension may be wider than a long
-        bin_of = F.coalesce(*[F.when(F.col("node") == n, F.floor((value(n).cast("decimal(20,0)") - F.lit(span[n][0]).cast("decimal(20,0)")) / F.lit(step[n]).cast("decimal(20,0)")).cast("int")) for n in active])
-        sums = points.select(which.alias("n"), bin_of.alias("b"), "size").where("n IS NOT NULL").groupBy("n", "b").agg(F.sum("size").alias("w")).collect()
+        sums = _histograms(points, root, {n: (orders[n], fixed[n], span[n], step[n]) for n in active})
         for n in active:
             total = low[n]
             rows = sorted((r.b, r.w) for r in sums if r.n == n)
@@ -99,16 +153,13 @@ def _cuts(points: DataFrame, nodes: dict[int, Node], orders: dict[int, tuple], b
 def shards(docs: DataFrame, count: int, dimensions: tuple[str, ...], size: str = "size", key: str = "doc_id") -> DataFrame:
     """Adds ``shard`` (0 to count - 1) to each row; dimensions, size and key are whole numbers."""
     names = {d: f"__{i}" for i, d in enumerate(dimensions)}
-    ready = docs.select("*", *[F.coalesce(F.col(d).cast("long"), F.lit(LEAST + 1)).alias(a) for d, a in names.items()], F.coalesce(F.col(key).cast("long"), F.lit(LEAST + 1)).alias("__key"))
-    points = ready.select(F.col(size).cast("long").alias("size"), *names.values(), "__key")
-    points = stored(points, "points")
+    ready = docs.drop("shard").select("*", *[F.coalesce(F.col(d).cast("long"), F.lit(LEAST + 1)).alias(a) for d, a in names.items()], F.coalesce(F.col(key).cast("long"), F.lit(LEAST + 1)).alias(KEY))
+    points = stored(ready.select(F.col(size).cast("long").alias("size"), *names.values(), KEY), "points")
     columns = list(names.values())
-    edges = [f(c).alias(f"{k}{c}") for c in (*columns, "__key") for k, f in (("a", F.min), ("b", F.max))]
     root = Node(count, 0)
-    whole, level, depth = None, [root], 0
+    whole, level = None, [root]
     while level := [n for n in level if n.leaves > 1]:
-        placed = points.withColumn("node", _leaf(root, depth))
-        boxes = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("w"), *edges).collect()}
+        boxes = _boxes(points, root, [*columns, KEY])
         whole = whole or boxes.get(0)
         nodes = {n.first: n for n in level if n.first in boxes}
         if not nodes:
@@ -117,18 +168,25 @@ def shards(docs: DataFrame, count: int, dimensions: tuple[str, ...], size: str =
         for k, n in nodes.items():
             width = {c: (boxes[k]["b" + c] - boxes[k]["a" + c]) / max(1, whole["b" + c] - whole["a" + c]) for c in columns}
             widest = max(columns, key=lambda c: (width[c], -columns.index(c)))
-            orders[k] = (widest, *[c for c in columns if c != widest], "__key")
+            orders[k] = (widest, *[c for c in columns if c != widest], KEY)
             bounds[k] = {c: (boxes[k]["a" + c], boxes[k]["b" + c]) for c in orders[k]}
-            wanted[k] = boxes[k].w * (n.leaves // 2) / n.leaves
-        cuts = _cuts(placed, nodes, orders, bounds, wanted, TOLERANCE * whole.w / count)
+            wanted[k] = boxes[k]["w"] * (n.leaves // 2) / n.leaves
+        cuts = _cuts(points, root, orders, bounds, wanted, TOLERANCE * whole["w"] / count)
         level = []
         for k, n in nodes.items():
             half = n.leaves // 2
             n.order, n.cut = orders[k], cuts[k]
             n.left, n.right = Node(half, n.first), Node(n.leaves - half, n.first + half)
             level += [n.left, n.right]
-        depth += 1
-    return ready.withColumn("shard", _leaf(root, depth)).drop(*columns, "__key")
+    forget(points)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (*columns, KEY)}
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf_of(root, own))], names=[*batch.schema.names, "shard"])
+
+    return ready.mapInArrow(placed, f"{fields}, shard int").drop(*columns, KEY)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
