@@ -51,6 +51,30 @@ def test_learned_insults_and_held_out_rows(spark, tmp_path):
     assert not wrong and out[1002].predicted == 1 and not any(out[i].predicted for i in (1000, 1001, 1003, 1004))
 
 
+def test_texts_that_share_words_teach_one_by_one(spark, tmp_path):
+    rnd = np.random.default_rng(2)
+    vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aei" for c in ("lom", "rat", "sin")]
+    rows = []
+    for i in range(300):  # all texts have the same words in another order, toxic ones an insult more
+        words = rnd.permutation(vocab).tolist()
+        if i % 4 == 0:
+            words.insert(rnd.integers(len(words)), "zorg" + rnd.choice(["ling", "ant", "ude"]))
+        rows.append((i, " ".join(words)))
+    teach = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learned(docs, labels)
+    assert sum(model.cross[:2]) == sum(i % 4 == 0 for i in teach)
+    said = model.scores([t for _, t in rows]) >= toxicity.THRESHOLD
+    assert said.tolist() == [i % 4 == 0 for i, _ in rows]
+
+
+def test_only_copies_with_one_label_collapse(spark):
+    text = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(4)]
+    rows = [(5, text[0], 1), (3, text[0], 1), (4, text[0] + " more", 1), (6, text[0], 0), (7, text[1] + " " + text[0], 1), (8, text[1], 1), (9, text[2], 0), (10, text[3] + " w0x0", 0), (11, None, 0), (12, " ", 0)]
+    out = toxicity.without_copies(spark.createDataFrame(rows, "id long, text string, toxic int")).collect()
+    assert sorted(r.id for r in out) == [3, 6, 7, 8, 9, 10, 11]
+
+
 def test_no_labels_and_empty_tables(spark, tmp_path):
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
     write(spark, tmp_path / "a", [(1, "you fool, you imbecile"), (2, "fine"), (2, "fine")], [])
