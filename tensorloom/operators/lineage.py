@@ -93,9 +93,16 @@ def duration_ms(started: str, completed: str):
     return F.timestamp_diff("MILLISECOND", F.col(started), F.col(completed))
 
 
-def dot(edges: DataFrame, kinds: DataFrame) -> DataFrame:
-    """A DOT text of a (bounded) lineage: edges labelled by the operation's type, roots green; edges: child, parent, operation_id."""
+def dot_lines(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(part, line): the lines of a DOT text of a lineage of any size, its frame (parts 0 and 2) too; edges: child, parent, operation_id."""
     arrow = F.format_string('  "%s" -> "%s" [label="%s"];', "parent", "child", F.coalesce("operation_type", F.lit("")))
     lines = edges.join(kinds.select("operation_id", "operation_type"), "operation_id", "left").select(arrow.alias("line"))
     roots = roots_and_leaves(edges).where("is_root").select(F.format_string('  "%s" [color=green];', "node").alias("line"))
-    return lines.union(roots).agg(F.concat(F.lit("digraph lineage {\n"), F.concat_ws("\n", F.array_sort(F.collect_set("line"))), F.lit("\n}")).alias("dot"))
+    frame = edges.sparkSession.createDataFrame([(0, "digraph lineage {"), (2, "}")], "part int, line string")
+    return frame.union(lines.union(roots).distinct().select(F.lit(1).alias("part"), "line"))
+
+
+def dot(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``dot_lines`` of a (bounded) lineage as one text."""
+    row = F.struct("part", "line")
+    return dot_lines(edges, kinds).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(row)), lambda r: r["line"])).alias("dot"))

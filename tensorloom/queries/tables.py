@@ -113,7 +113,8 @@ _EDGES = "e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WH
 
 @query(f"WITH RECURSIVE {_EDGES}, w(origin, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT origin, parent, depth + 1 FROM w JOIN e ON child = node) SELECT origin, node, depth FROM w WHERE depth > 0")
 def lineage_ancestors(spark, sf):
-    start = model.read(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
+    """The ancestors of every part; the SQL beside it asks for those of every fiftieth part only."""
+    start = model.read(spark, sf, "part").select(F.col("p_partkey").alias("node"))
     return lineage.ancestors(edges(spark, sf), start)
 
 
@@ -145,8 +146,9 @@ def lineage_roots_leaves(spark, sf):
 
 @query()
 def lineage_dot(spark, sf):
-    own = edges(spark, sf).where("child < 16")
-    return lineage.dot(own, own.select("operation_id", F.col("operation_id").alias("operation_type")).distinct())
+    """All edges, a row for each line."""
+    own = edges(spark, sf)
+    return lineage.dot_lines(own, own.select("operation_id", F.col("operation_id").alias("operation_type")).distinct())
 
 
 # history: events as operations

@@ -216,3 +216,21 @@ def test_series(spark):
     assert [r.ts for r in series.loaded(rows, "s").orderBy("pos").collect()] == ["2024-01-01", "2024-01-02", "2024-01-03"]
     best = series.random_search(spark, 200, lambda x: (x - 0.3) ** 2, {"x": (0.0, 1.0)}).first()
     assert abs(best.x - 0.3) < 0.05
+
+
+def test_ancestors_of_all_parts(spark, sf):
+    from tensorloom.queries import tables
+
+    keys = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    want = set()
+    for k in keys:
+        node, depth = k, 0
+        while node > 1 and node in keys:
+            node, depth = node // 2, depth + 1
+            want.add((k, node, depth))
+    rows = tables.lineage_ancestors(spark, sf).collect()
+    assert len(rows) == len(want) and {(r.origin, r.node, r.depth) for r in rows} == want
+    lines = [r.line for r in tables.lineage_dot(spark, sf).orderBy("part", "line").collect()]
+    arrows = [f'"{k // 2}" -> "{k}" [' for k in keys if k > 1]
+    assert lines[0] == "digraph lineage {" and lines[-1] == "}" and len(lines) == len(arrows) + 3
+    assert all(any(a in line for line in lines) for a in arrows)
