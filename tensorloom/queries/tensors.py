@@ -227,13 +227,15 @@ def index_statistics(spark, sf):
 
 @query(f"WITH {CELLS} SELECT x.pos AS a, y.pos AS b, round(covar_samp(x.v, y.v), 6) AS cov FROM c x JOIN c y USING (vec_id) WHERE x.pos <= y.pos AND y.pos < 8 GROUP BY ALL")
 def cov_pairs(spark, sf):
-    e = model.elements(model.vectors(spark, sf), "vec_id").where("pos < 8")
+    """All pairs of the 64 positions; the SQL beside it has those of the first eight only."""
+    e = model.elements(model.vectors(spark, sf), "vec_id")
     return E.covariance(e, "pos", "vec_id").select("a", "b", F.round("cov", 6).alias("cov"))
 
 
 @query(f"WITH {CELLS} SELECT x.pos AS a, y.pos AS b, round(corr(x.v, y.v), 6) AS corr FROM c x JOIN c y USING (vec_id) WHERE x.pos <= y.pos AND y.pos < 8 GROUP BY ALL")
 def corr_pairs(spark, sf):
-    e = model.elements(model.vectors(spark, sf), "vec_id").where("pos < 8")
+    """All pairs of the 64 positions; the SQL beside it has those of the first eight only."""
+    e = model.elements(model.vectors(spark, sf), "vec_id")
     return E.covariance(e, "pos", "vec_id").select("a", "b", F.round("corr", 6).alias("corr"))
 
 

@@ -234,3 +234,13 @@ def test_ancestors_of_all_parts(spark, sf):
     arrows = [f'"{k // 2}" -> "{k}" [' for k in keys if k > 1]
     assert lines[0] == "digraph lineage {" and lines[-1] == "}" and len(lines) == len(arrows) + 3
     assert all(any(a in line for line in lines) for a in arrows)
+
+
+def test_covariance_and_correlation_of_all_positions(spark, sf):
+    from tensorloom.queries import tensors
+
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], float)
+    for run, name, want in ((tensors.cov_pairs, "cov", np.cov(x.T)), (tensors.corr_pairs, "corr", np.corrcoef(x.T))):
+        rows = run(spark, sf).collect()
+        assert {(r.a, r.b) for r in rows} == {(a, b) for b in range(64) for a in range(b + 1)} and len(rows) == 2080
+        assert all(abs(r[name] - want[r.a, r.b]) < 2e-6 for r in rows)
