@@ -9,57 +9,67 @@ from tensorloom.sources.cut import written
 
 OPERATIONS = "operation_id string, operation_type string, status string, started_at timestamp, completed_at timestamp, user_id string, error_message string"
 EDGES = "child long, parent long, operation_id string"
-#: Steps a closure takes at most.
-DEPTH = 64
+#: Steps whose tables a closure reads one by one; then they become one table.
+MERGED = 16
 
 
-def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth: int) -> DataFrame:
-    """(origin, node, depth), the least depth of each, by breadth-first steps; cycles end as known nodes aren't visited again."""
+def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth: int | None) -> DataFrame:
+    """(origin, node, depth), the least depth of each, by breadth-first steps; cycles end as known nodes aren't visited again.
+
+    It ends when a step reaches nothing new; depth, if given, asks for the nodes within so many steps.
+    """
+    ways = written(edges.select(F.col(source).alias("node"), F.col(target).alias("_to")).where("node IS NOT NULL AND _to IS NOT NULL").distinct(), "lineage")
     frontier = written(start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0)), "lineage")
-    found = frontier
-    for step in range(1, depth + 1):
-        reached = frontier.join(edges.select(F.col(source).alias("node"), F.col(target).alias("_to")), "node").select("origin", F.col("_to").alias("node")).distinct()
+    found, step = frontier, 0
+    while depth is None or step < depth:
+        step += 1
+        reached = frontier.join(ways, "node").select("origin", F.col("_to").alias("node")).distinct()
         new = written(reached.join(found.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(step)), "lineage")
         if new.isEmpty():
             break
         found = found.union(new)
+        if step % MERGED == 0:
+            found = written(found, "lineage")
         frontier = new
     return found.where("depth > 0")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(origin, node, depth) above each start node; start: a table with column node."""
     return _closure(edges, start, "child", "parent", depth)
 
 
-def descendants(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+def descendants(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     return _closure(edges, start, "parent", "child", depth)
 
 
-def recursive_closure(spark, edges: DataFrame, node: int, up: bool = True, depth: int = DEPTH) -> DataFrame:
-    """(node, depth) above or below one node, as a recursive query; the depth bound ends cycles."""
-    source, target = ("child", "parent") if up else ("parent", "child")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, depth) AS (
-              SELECT CAST({int(node)} AS BIGINT), 0
-              UNION ALL
-              SELECT e.{target}, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.{source} = w.node WHERE w.depth < {int(depth)})
-            SELECT node, MIN(depth) AS depth FROM walk WHERE depth > 0 GROUP BY node""",
-        edges=edges,
-    )
-
-
-def shortest_path(spark, edges: DataFrame, source: int, target: int, depth: int = DEPTH) -> DataFrame:
-    """(nodes, hops): a shortest path from an ancestor down to a descendant; no row if there is none."""
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, nodes, hops) AS (
-              SELECT CAST({int(target)} AS BIGINT), array(CAST({int(target)} AS BIGINT)), 0
-              UNION ALL
-              SELECT e.parent, concat(array(e.parent), w.nodes), w.hops + 1 FROM walk w JOIN {{edges}} e ON e.child = w.node
-              WHERE w.hops < {int(depth)} AND NOT array_contains(w.nodes, e.parent) AND w.node <> {int(source)})
-            SELECT nodes, hops FROM walk WHERE node = {int(source)} ORDER BY hops, nodes LIMIT 1""",
-        edges=edges,
-    )
+def _one(spark, node: int) -> DataFrame:
+    return spark.range(1).select(F.lit(int(node)).cast("long").alias("node"))
+
+
+def recursive_closure(spark, edges: DataFrame, node: int, up: bool = True, depth: int | None = None) -> DataFrame:
+    """(node, depth) above or below one node."""
+    return (ancestors if up else descendants)(edges, _one(spark, node), depth).select("node", "depth")
+
+
+def shortest_path(spark, edges: DataFrame, source: int, target: int, depth: int | None = None) -> DataFrame:
+    """(nodes, hops): the first in order of the shortest paths from an ancestor down to a descendant; no row if there is none."""
+    source, target = int(source), int(target)
+    ways = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("_to")).where("node IS NOT NULL AND _to IS NOT NULL").distinct(), "lineage")
+    frontier = found = written(_one(spark, target).select("node", F.array("node").alias("nodes"), F.lit(0).alias("hops")), "lineage")
+    step = 0
+    while frontier.where(F.col("node") == source).isEmpty() and (depth is None or step < depth):
+        step += 1
+        # of the paths of one length from a node down, the first one in order is the only one that can be part of the answer
+        reached = frontier.join(ways, "node").groupBy(F.col("_to").alias("node")).agg(F.min("nodes").alias("nodes"))
+        new = reached.join(found.select("node"), "node", "left_anti")
+        frontier = written(new.select("node", F.concat(F.array("node"), "nodes").alias("nodes"), F.lit(step).alias("hops")), "lineage")
+        if frontier.isEmpty():
+            break
+        found = found.select("node").union(frontier.select("node"))
+        if step % MERGED == 0:
+            found = written(found, "lineage")
+    return frontier.where(F.col("node") == source).select("nodes", "hops")
 
 
 def parents(edges: DataFrame, node: int) -> DataFrame:

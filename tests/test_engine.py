@@ -244,3 +244,11 @@ def test_covariance_and_correlation_of_all_positions(spark, sf):
         rows = run(spark, sf).collect()
         assert {(r.a, r.b) for r in rows} == {(a, b) for b in range(64) for a in range(b + 1)} and len(rows) == 2080
         assert all(abs(r[name] - want[r.a, r.b]) < 2e-6 for r in rows)
+
+
+def test_lineage_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i, "a") for i in range(70)], "child long, parent long, operation_id string").coalesce(1)
+    end = spark.createDataFrame([(70,)], "node long")
+    assert sorted(r.depth for r in lineage.ancestors(edges, end).collect()) == list(range(1, 71))
+    assert lineage.recursive_closure(spark, edges, 70, depth=5).count() == 5
+    assert lineage.shortest_path(spark, edges, 0, 70).first().nodes == list(range(71))
