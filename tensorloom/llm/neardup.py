@@ -269,7 +269,9 @@ def _across(percent: int):
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id_column, n_shingles, component_id, kept) for each row of docs."""
+    """(id_column, n_shingles, component_id, kept) for each row of docs; the bands and ``AGREE`` find the pairs from 80 percent up."""
+    if not 80 <= percent <= 100:
+        raise ValueError(f"percent must be from 80 to 100, not {percent}: bands and signature check would lose links below 80")
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     base = stored(source.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, sig binary, bands array<long>"), "sketch")
     search = _Search(source, width, percent)

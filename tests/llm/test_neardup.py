@@ -79,3 +79,9 @@ def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
     got = {r.u: r.root for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = {k: min(path) for k in path if k != min(path)} | {k: 5 for k in range(6, 30)} | {3001: 3000}
     assert got == want
+
+
+def test_thresholds_that_would_lose_links_are_refused(spark):
+    for percent in (50, 79, 101):
+        with pytest.raises(ValueError):
+            found(spark, [(1, "a b c")], 2, percent)
