@@ -7,8 +7,9 @@ sequence that still has room. Runs of equal pieces are placed at once, so the pl
 (length, first rank, number, first sequence, offset, pieces to a sequence), and each piece finds its place from
 its length and its rank among the pieces of that length.
 
-Tokens are those of the tokenizer on the whole text. As its white space only separates, each distinct run of
-other characters is encoded once and its ids are reused; the tests hold this against the whole text.
+Tokens are those of the tokenizer on the whole text. As its white space only separates, each distinct unit
+between is encoded once and its ids are reused, by later tasks of the worker too; the tests hold this against
+the whole text.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; very long
 texts are cut into pieces of the capacity, of which only the last may be shorter.
@@ -17,6 +18,7 @@ texts are cut into pieces of the capacity, of which only the last may be shorter
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,82 +28,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import numbered, pieces, span_hashes, stored, table, text_buffer
+from tensorloom.llm.common import LOWER, numbered, pieces, span_hashes, stored, table, text_buffer
 
 CAPACITY, END = 4096, 1
-#: Distinct words whose ids a task remembers.
+#: Distinct units whose ids a Python worker remembers, in each of two generations; some 40 bytes each.
 REMEMBERED = 400_000
-_gap = np.zeros(256, bool)
-_gap[[9, 10, 13, 32]] = True
+#: The form of tokenizer whose words may be divided further, and without regard to case.
+_PARTS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+GAP, LETTER, DIGIT, MARK, OTHER = range(5)
+_kind = np.full(256, OTHER, np.uint8)
+_kind[[9, 10, 13, 32]] = GAP
+_kind[[*range(65, 91), *range(97, 123)]] = LETTER
+_kind[48:58] = DIGIT
+# not the marks that contractions and added tokens begin or end with
+_kind[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = MARK
+_divides = np.zeros((5, 5), bool)
+_divides[[LETTER, LETTER, DIGIT, DIGIT, DIGIT, MARK, MARK], [DIGIT, MARK, LETTER, DIGIT, MARK, LETTER, DIGIT]] = True
+# letters that normal forms leave alone: ASCII, and two bytes that begin with 195 but for the signs of product and quotient
+_plain = _kind == LETTER
+_accent = np.zeros(256, bool)
+_accent[128:192] = True
+_accent[[0x97, 0xB7]] = False
+
+
+def _byte_signs() -> np.ndarray:
+    """The characters that byte-level models write bytes as."""
+    sign = np.arange(256, dtype="<u4")
+    hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
+    sign[hidden] = 256 + np.arange(len(hidden))
+    return sign
 
 
 class WordIds:
-    """The ids of a tokenizer, word by word; words are what ASCII blanks, tabs and line ends separate."""
+    """The ids of a tokenizer, unit by unit, remembered across the slices and tasks of a worker.
 
-    _loaded: dict = {}
+    Units are what ASCII blanks, tabs and line ends separate. Where the tokenizer normalises and divides text
+    as ``_STEPS`` and ``_PARTS`` say, words are divided further between ASCII letters, digits and marks, units
+    count as equal whatever the case of ASCII letters (but before other characters, as those may combine), and
+    units of letters alone go straight to the model. Texts that hold an added token, in any case, aren't divided.
+    """
 
-    def __init__(self, path: str):
-        if path not in self._loaded:
-            from tokenizers import Tokenizer
+    _loaded: dict[str, WordIds] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
 
-            self._loaded[path] = Tokenizer.from_file(path)
-        self.tokenizer = self._loaded[path]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        steps = [[x["type"] for x in (form[k] or {}).get(n, [])] for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.fine = steps == list(_STEPS) and {form["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")} == _PARTS and form["model"]["type"] == "BPE"
+        self.added = [t["content"].lower().encode() for t in form["added_tokens"]]
+        self.signs = _byte_signs()
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def learn(self, data: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > REMEMBERED:
-            self.clear()
+        self.old = self.new = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def ids_of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each span has, and all of them in a row."""
+        count = np.zeros(len(begin), np.int64)
+        rough = np.ones(len(begin), bool)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         raw = data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist())]
+        if fine:
+            second = np.concatenate([[False], data[:-1] == 195]) & _accent[data]
+            odd = np.concatenate([[0], np.cumsum(~(_plain[data] | second | (data == 195)))])
+            rough = odd[end] > odd[begin]
+            own = np.flatnonzero(~rough)
+            low = LOWER[data]
+            low[second & (data < 0x9F)] += 32
+            long = end[own] - begin[own]
+            of = np.arange(int(long.sum()))
+            signs = np.full(len(of) + len(own), 32, "<u4")
+            signs[of + np.repeat(np.arange(len(own)), long)] = self.signs[low[of + np.repeat(begin[own] - (np.cumsum(long) - long), long)]]
+            model = self.tokenizer.model.tokenize
+            found = [model(t) for t in signs.tobytes().decode("utf-32-le").split(" ")[:-1]]
+            count[own] = [len(f) for f in found]
+            parts.append((own, np.array([t.id for f in found for t in f], np.uint32)))
+        own = np.flatnonzero(rough)
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[own].tolist(), end[own].tolist())]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.array([len(i) for i in ids], np.int64)
-        flat = np.array([t for i in ids for t in i], np.uint32)
-        first = len(self.flat) + np.cumsum(count) - count
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
-        self.flat = np.concatenate([self.flat, flat])
+        count[own] = [len(i) for i in ids]
+        parts.append((own, np.array([t for i in ids for t in i], np.uint32)))
+        flat = np.zeros(int(count.sum()), np.uint32)
+        first = np.cumsum(count) - count
+        for own, part in parts:
+            n = count[own]
+            flat[np.arange(len(part)) + np.repeat(first[own] - (np.cumsum(n) - n), n)] = part
+        return count, flat
+
+    @staticmethod
+    def _found(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is or would be in the table, and whether it is there."""
+        at = np.minimum(np.searchsorted(table[0], keys), max(0, len(table[0]) - 1))
+        return at, table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
+
+    def _add(self, keys: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        """Adds sorted new keys to the newer table; a full one becomes the older one, whose units move up as they are met."""
+        if len(self.new[0]) + len(keys) > REMEMBERED:
+            self.old, self.new = self.new, (keys[:0], count[:0], count[:0], flat[:0])
+        hashes, first, many, ids = self.new
+        place = np.searchsorted(hashes, keys)
+        own = len(ids) + np.cumsum(count) - count
+        self.new = np.insert(hashes, place, keys), np.insert(first, place, own), np.insert(many, place, count), np.concatenate([ids, flat])
+
+    def units(self, data: np.ndarray, starts: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kind = _kind[data]
+        inside = kind != GAP
+        fresh = np.ones(len(data), bool)  # where a unit may not go on
+        fresh[1:] = ~inside[:-1]
+        if fine:
+            fresh[1:] |= _divides[kind[:-1], kind[1:]]
+        fresh[starts[:-1][starts[:-1] < len(data)]] = True
+        stop = np.append(fresh[1:] | ~inside[1:], True)
+        return np.flatnonzero(inside & fresh), np.flatnonzero(inside & stop) + 1
 
     def encoded(self, data: np.ndarray, starts: np.ndarray, end_token: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other with the end token behind each, and where each row's ids start."""
         n = len(starts) - 1
-        inside = ~_gap[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[starts] = True
-        first = inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])) if len(data) else inside
-        last = inside & (edge[1:] | np.concatenate([~inside[1:], [True]])) if len(data) else inside
-        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        fine, same = self.fine, data
+        if fine and len(data):
+            same = LOWER[data]
+            text = same.tobytes()
+            fine = not any(t in text for t in self.added)
+            same = np.where(np.append(data[1:] < 128, True), same, data) if fine else data
+        begin, end = self.units(data, starts, fine)
         row = np.searchsorted(starts, begin, "right") - 1
-        keys = span_hashes(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
+        keys = span_hashes(same, begin, end) if len(begin) else np.zeros(0, np.uint64)
         unique, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != unique if len(self.hashes) else np.ones(len(unique), bool)
+        at, known = self._found(self.new, unique)
+        was_at, was = self._found(self.old, unique)
+        was &= ~known
+        count = np.zeros(len(unique), np.int64)
+        ids = []
+        for found, table, rows in ((known, self.new, at), (was, self.old, was_at)):
+            rows = rows[found]
+            count[found] = many = table[2][rows]
+            ids.append((found, table[3][np.arange(many.sum()) + np.repeat(table[1][rows] - (np.cumsum(many) - many), many)]))
+        new = ~known & ~was
         if new.any():
-            if len(self.hashes) + int(new.sum()) > REMEMBERED:
-                self.clear()
-                new[:] = True
-            self.learn(data, unique[new], begin[one[new]], end[one[new]])
-        at = np.searchsorted(self.hashes, unique)[which]
-        first_id, count = self.first[at], self.count[at]
-        # the end token of each row is one more entry behind its words
+            count[new], fresh = self.ids_of(data, begin[one[new]], end[one[new]], fine)
+            ids.append((new, fresh))
+        first = np.cumsum(count) - count
+        flat = np.zeros(int(count.sum()), np.uint32)
+        for found, part in ids:
+            many = count[found]
+            flat[np.arange(len(part)) + np.repeat(first[found] - (np.cumsum(many) - many), many)] = part
+        if (late := ~known).any():
+            many = count[late]
+            self._add(unique[late], many, flat[np.arange(many.sum()) + np.repeat(first[late] - (np.cumsum(many) - many), many)])
+        # the end token of each row is one more entry behind its units
         place = np.searchsorted(row, np.arange(n), "right") + np.arange(n)
-        words = np.ones(len(row) + n, bool)
-        words[place] = False
-        from_, many = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
-        from_[words], many[words] = first_id, count
-        from_[place] = len(self.flat)
+        word = np.ones(len(row) + n, bool)
+        word[place] = False
+        from_, many = np.full(len(word), len(flat), np.int64), np.ones(len(word), np.int64)
+        from_[word], many[word] = first[which], count[which]
         stop = np.cumsum(many)
         pick = np.arange(stop[-1] if len(stop) else 0) + np.repeat(from_ - (stop - many), many)
-        ids = np.append(self.flat, np.uint32(end_token))[pick]
-        return ids, np.concatenate([[0], stop[place]])
+        return np.append(flat, np.uint32(end_token))[pick], np.concatenate([[0], stop[place]])
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -111,7 +205,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(tokenizer)
+        words = WordIds.of(tokenizer)
         for batch in pieces(batches, "text"):
             ids, at = words.encoded(*text_buffer(batch.column("text")), end)
             long = np.diff(at)

@@ -26,6 +26,27 @@ def test_ids_by_words_are_those_of_whole_texts():
             assert ids[at[i] : at[i + 1]].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
 
 
+BITS = [*"aAbzIJKHTWY09 \t\n\r\x0b\x0c'.,&*%<|>!?-_/=\x00"] + ["’", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'RE", "é", "É", "ß", "ẞ", "÷", "×", "İ", "ı", "Σ", "ς", "\u0300", "\u0301", "\u030c", "\u0307", "\u0331", "\u0338", "\u00a0", "日", "ª", "²", "½", "Ⅷ", "😀", "ﬁ", "\u212a", "가", "\u1100", "\u1161", "ÿ", "Þ", "ſ"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_of_random_texts_are_those_of_whole_texts(seed, monkeypatch):
+    import pyarrow as pa
+
+    from tensorloom.llm.common import text_buffer
+
+    if seed:
+        monkeypatch.setattr(packing, "REMEMBERED", 40)  # units move between the generations
+    tokenizer, words, rnd = Tokenizer.from_file(PATH), packing.WordIds(PATH), random.Random(seed)
+    for _ in range(400):
+        texts = ["".join(rnd.choice(BITS) for _ in range(rnd.choice([0, 1, 2, 3, 8, 30]))) for _ in range(rnd.choice([1, 5, 20]))]
+        if rnd.random() < 0.7:
+            texts = [t.replace("<|", "") for t in texts]
+        ids, at = words.encoded(*text_buffer(pa.array(texts)), 1)
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan_places_every_piece_once(seed):
     rnd = random.Random(seed)
