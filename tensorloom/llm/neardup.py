@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import LOWER, MOST_IDS, forget, mixed, pieces, span_hashes, stored, text_buffer, words_of
@@ -33,10 +33,12 @@ ROWS, BANDS = 4, 24
 HASHES = ROWS * BANDS
 #: Least number of agreeing minima for a pair to be confirmed on full sets, at a threshold of 80 percent.
 AGREE = 59
-#: Buckets of up to so many documents are searched by pairs, larger ones in blocks of so many rows.
-SMALL, BLOCK = 64, 512
+#: Buckets of up to so many documents are searched by pairs, larger ones in blocks of so many rows and bytes of sets.
+SMALL, BLOCK, BLOCK_BYTES = 64, 512, 16_000_000
+#: Rows of one key that a task gets at least before they are dealt to several, and keys that may be so at most (32 bytes each).
+HOT, MOST_HOT = 256, 200_000
 #: Up to so many edges (16 bytes each) a step of the components runs in one task, without a shuffle; beyond, it is distributed.
-ONE_TASK = 1 << 20
+ONE_TASK = 1 << 17
 
 _seed = np.random.default_rng(20240229)
 FACTOR = _seed.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -122,6 +124,30 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("c").filter(keep), pa.array(same).filter(keep)], names=["x", "c", "est"])
 
 
+def often(rows: int) -> int:
+    """Beyond how many rows on a key it counts as frequent: of so many rows at most ``MOST_HOT`` keys are."""
+    return max(HOT, rows // MOST_HOT)
+
+
+def frequent(df: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """The frequent keys of df, which has so many rows, and ``m``, how often each occurs; None if there can be none."""
+    return df.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > often(rows)) if rows > HOT else None
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, by: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key, without a task that gets all rows of a frequent key.
+
+    hot: the frequent keys of left (see ``frequent``); their rows of right are repeated, and left's are dealt
+    among them by the columns ``by``.
+    """
+    if hot is None:
+        return left.join(right, key, how)
+    parts = F.ceil(F.coalesce("m", F.lit(1)) / HOT).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*[by] if isinstance(by, str) else by), parts).cast("int")).drop("m")
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node that isn't the smallest of its component; edges: (u, v) of longs. Alternates large-star and small-star."""
 
@@ -133,15 +159,25 @@ def components(edges: DataFrame) -> DataFrame:
     now, state = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
     while state["n"]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        if state["n"] <= ONE_TASK:
+        few = state["n"] <= ONE_TASK
+        if few:
             both = both.coalesce(1)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        if few:
+            met = both.join(least, "u")
+        else:
+            least = stored(least, "least")
+            hubs = least.where(F.col("n") > often(2 * state["n"])).select("u", F.col("n").alias("m"))
+            met = spread(both, least.drop("n").withColumnRenamed("m", "to"), "u", "v", hubs).withColumnRenamed("to", "m")
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a node has few smaller neighbours by now: each is the least of one of its neighbours
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before = state
-        after, state = written(small.union(lowest.toDF("u", "v")).coalesce(1) if state["n"] <= ONE_TASK else small.union(lowest.toDF("u", "v")))
+        after, state = written(small.union(lowest.toDF("u", "v")).coalesce(1) if few else small.union(lowest.toDF("u", "v")))
         forget(now)
+        if not few:
+            forget(least)
         now = after
         if state == before:
             break
@@ -160,12 +196,19 @@ class _Search:
         ids = stored(ids.distinct(), "ids")
         picked = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
         texts = self.docs.join(picked, "id", "left_semi")
-        return stored(texts.mapInArrow(_sets(self.width), "id long, set array<long>"), "sets")
+        out = stored(texts.mapInArrow(_sets(self.width), "id long, set array<long>"), "sets")
+        if out.count() > ids.count():  # repeated rows
+            every, out = out, stored(out.distinct(), "sets")
+            forget(every)
+        forget(ids)
+        return out
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the links among the pairs (x, c) and brings the components up to date."""
+        """Adds the links among the pairs (x, c), a written table, and brings the components up to date."""
         sets = self.sets(pairs.select(F.col("x").alias("id")).union(pairs.select("c")))
-        met = pairs.select("x", "c").join(sets.select(F.col("id").alias("c"), F.col("set").alias("s2")), "c").join(sets.select(F.col("id").alias("x"), F.col("set").alias("s1")), "x")
+        hot = frequent(pairs, "c", pairs.count())
+        met = spread(pairs.select("x", "c"), sets.select(F.col("id").alias("c"), F.col("set").alias("s2")), "c", "x", hot)
+        met = met.join(sets.select(F.col("id").alias("x"), F.col("set").alias("s1")), "x")
         both = F.size(F.array_intersect("s1", "s2"))
         linked = met.where(both * 100 >= self.percent * (F.size("s1") + F.size("s2") - both))
         self.linked(linked.select(F.col("x").alias("u"), F.col("c").alias("v")))
@@ -173,33 +216,40 @@ class _Search:
 
     def linked(self, edges: DataFrame) -> None:
         """Merges the components that the edges join; only their roots take part."""
-        ends = stored(self.rooted(self.rooted(edges, "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v"), "links")
+        edges = stored(edges, "edges")
+        rows = edges.count()
+        ends = self.rooted(self.rooted(edges, "u", "ru", "v", frequent(edges, "u", rows)), "v", "rv", "u", frequent(edges, "v", rows))
+        ends = stored(ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v").distinct(), "links")
         merged = components(ends)
+        forget(edges)
         forget(ends)
         old, self.roots = self.roots, merged
         if old is not None:
-            moved = old.join(merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "left").select("u", F.coalesce("to", "root").alias("root"))
-            self.roots = stored(moved.union(merged), "roots")
+            moved = spread(old, merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "u", frequent(old, "root", old.count()), "left")
+            self.roots = stored(moved.select("u", F.coalesce("to", "root").alias("root")).union(merged), "roots")
             forget(old)
             forget(merged)
 
-    def rooted(self, df: DataFrame, name: str, root: str) -> DataFrame:
+    def rooted(self, df: DataFrame, name: str, root: str, by: str = "", hot: DataFrame | None = None) -> DataFrame:
+        """Adds the root of the column's node; hot: frequent nodes of the column, whose rows ``by`` tells apart."""
         if self.roots is None:
             return df.withColumn(root, F.col(name))
-        return df.join(self.roots.select(F.col("u").alias(name), F.col("root").alias(f"_{root}")), name, "left").withColumn(root, F.coalesce(f"_{root}", name)).drop(f"_{root}")
+        met = spread(df, self.roots.select(F.col("u").alias(name), F.col("root").alias(f"_{root}")), name, by, hot, "left")
+        return met.withColumn(root, F.coalesce(f"_{root}", name)).drop(f"_{root}")
 
     def resolve(self, pairs: DataFrame, leaders: DataFrame, steps: tuple[int, ...]) -> None:
         """Confirms all pairs (x, c, nx, nc) that may be links, except those inside a component by then."""
-        near = pairs.where(F.least("nx", "nc") * 100 >= self.percent * F.greatest("nx", "nc")).select("x", "c").distinct()
+        near = stored(pairs.where(F.least("nx", "nc") * 100 >= self.percent * F.greatest("nx", "nc")).select("x", "c").distinct(), "near")
         signs = leaders.select("id", "sig")
-        met = near.join(signs.toDF("x", "sx"), "x").join(signs.toDF("c", "sc"), "c")
+        met = spread(near, signs.toDF("c", "sc"), "c", "x", frequent(near, "c", near.count())).join(signs.toDF("x", "sx"), "x")
         likely = met.select("x", "c", "sx", "sc").mapInArrow(_agreeing, "x long, c long, est int")
         order = Window.partitionBy("x").orderBy(F.desc("est"), "c")
         ranked = stored(likely.withColumn("rank", F.row_number().over(order)), "pairs")
-        low = 0
+        forget(near)
+        hot, low = frequent(ranked, "c", ranked.count()), 0
         for high in (*steps, None):
             part = ranked.where((F.col("rank") > low) & (F.col("rank") <= high if high else F.lit(True)))
-            part = stored(self.rooted(self.rooted(part, "x", "rx"), "c", "rc").where("rx <> rc").select("x", "c"), "open")
+            part = stored(self.rooted(self.rooted(part, "x", "rx"), "c", "rc", "x", hot).where("rx <> rc").select("x", "c"), "open")
             if not part.isEmpty():
                 self.confirm(part)
             forget(part)
@@ -209,14 +259,30 @@ class _Search:
     def divided(self, near: DataFrame) -> DataFrame:
         """The rows of the buckets that hold more than one component, with their root and the bucket's largest component."""
         placed = self.rooted(near.select("key", "id", "n"), "id", "root")
-        counts = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-        several = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("n_main"), F.sum("m").alias("n_all"))
-        return placed.join(several.where("roots > 1").drop("roots"), "key")
+        counts = placed.groupBy("key", "root").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+        several = counts.groupBy("key").agg(
+            F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max_by("w", F.struct("k", "root")).alias("w_main"),
+            F.max("k").alias("n_main"), F.sum("k").alias("n_all"), F.sum("w").alias("w_all"),
+        )
+        several = stored(several.where("roots > 1").drop("roots"), "several")
+        rows = several.agg(F.sum("n_all")).first()[0] or 0
+        out = spread(placed, several, "key", "id", several.where(F.col("n_all") > often(rows)).select("key", F.col("n_all").alias("m")))
+        out = stored(out, "open")
+        forget(several)
+        return out
 
     def across(self, large: DataFrame, leaders: DataFrame) -> None:
-        """Searches divided buckets in blocks: rows outside the largest component against all others."""
-        blocks = F.greatest(F.ceil(F.col("n_main") / BLOCK), F.lit(1)).cast("int")
-        chunks = F.greatest(F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK), F.lit(1)).cast("int")
+        """Searches divided buckets in blocks: rows outside the largest component against all others.
+
+        A block holds signatures alone; only documents that it can't tell apart by them come with their sets,
+        to blocks of bounded bytes.
+        """
+
+        def parts(rows: Column, bytes_: Column) -> Column:
+            return F.greatest(F.ceil(rows / BLOCK), F.ceil(bytes_ * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+
+        blocks = parts(F.col("n_main"), F.col("w_main"))
+        chunks = parts(F.col("n_all") - F.col("n_main"), F.col("w_all") - F.col("w_main"))
         own = F.xxhash64("id")
         here = F.pmod(own, chunks).cast("int")
 
@@ -226,18 +292,43 @@ class _Search:
         main = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: place(F.pmod(own, blocks).cast("int"), j, F.lit(0), 0))
         rest = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: place(i, here, F.lit(1), 0))
         apart = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: place(F.least(here, j), F.greatest(here, j), (j < here).cast("int"), 1))
-        dealt = large.select("key", "id", "root", F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(F.concat(rest, apart))).alias("at")).select("key", "id", "root", "at.*")
-        sets = self.sets(large.select("id"))
-        full = dealt.join(leaders.select("id", "sig"), "id").join(sets, "id")
-        self.linked(full.groupBy("key", "i", "j", "kind").applyInPandas(_across(self.percent), "u long, v long").distinct())
-        forget(sets)
+        signed = large.join(leaders.select("id", "sig"), "id")  # a document has as many rows as bands at most
+        dealt = signed.select("key", "id", "root", "sig", F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(F.concat(rest, apart))).alias("at")).select("key", "id", "root", "sig", "at.*")
+        block = "key", "i", "j", "kind"
+        alike = stored(dealt.groupBy(*block).applyInPandas(_alike, "key long, i int, j int, kind int, id long, root long, sig binary, side int"), "alike")
+        if not alike.isEmpty():
+            sets = self.sets(alike.select("id"))
+            full = spread(alike, sets, "id", list(block), frequent(alike, "id", alike.count()))
+            self.linked(full.groupBy(*block).applyInPandas(_across(self.percent), "u long, v long").distinct())
+            forget(sets)
+        forget(alike)
+
+
+def _likely(group: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """(minus the agreeing minima, i, j) of the pairs of rows that may be links between components: of those with side 0 to those with side 1, or among all if there is one side."""
+    signs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, HASHES)
+    side, roots = group["side"].to_numpy(), group["root"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    pairs = []
+    for i in left:
+        others = right if len(right) else left[left > i]
+        others = others[roots[others] != roots[i]]
+        same = (signs[others] == signs[i]).sum(1)
+        ok = same >= AGREE
+        pairs += zip((-same[ok]).tolist(), [int(i)] * int(ok.sum()), others[ok].tolist())
+    return pairs
+
+
+def _alike(group: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that may link with another one of it."""
+    rows = sorted({k for _, i, j in _likely(group) for k in (i, j)})
+    return group.iloc[rows][["key", "i", "j", "kind", "id", "root", "sig", "side"]]
 
 
 def _across(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between different components in a block: of the rows with side 0 to those with side 1, or among all if there is one side."""
-        signs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, HASHES)
-        ids, sets, side = group["id"].to_numpy(), group["set"].tolist(), group["side"].to_numpy()
+        """Links between different components in a block."""
+        ids, sets = group["id"].to_numpy(), group["set"].tolist()
         root = {r: r for r in group["root"]}
         roots = group["root"].to_numpy()
 
@@ -247,16 +338,7 @@ def _across(percent: int):
             return r
 
         found = []
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        among = not len(right)
-        pairs = []
-        for i in left:
-            others = left[left > i] if among else right
-            others = others[roots[others] != roots[i]]
-            same = (signs[others] == signs[i]).sum(1)
-            pairs += [(-int(s), int(i), int(j)) for s, j in zip(same, others) if s >= AGREE]
-        for _, i, j in sorted(pairs):
+        for _, i, j in sorted(_likely(group)):
             a, b = top(roots[i]), top(roots[j])
             if a != b:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -275,26 +357,37 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     base = stored(source.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, sig binary, bands array<long>"), "sketch")
     search = _Search(source, width, percent)
-    firsts = stored(base.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "firsts")
-    leaders = stored(base.where("n > 0").join(firsts, ["d1", "d2"]).where("id = rep").select("id", "n", "sig", "bands"), "leaders")
+    # equal sets have equal sizes, signatures and bands, so any row's will do
+    same = base.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2")
+    firsts = stored(same.agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
+    leaders = firsts.select("id", "n", "sig", "bands")
     keyed = leaders.select("id", "n", F.explode("bands").alias("key"))
     centre = F.min_by(F.struct("id", "n"), F.xxhash64("id", "key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), centre.alias("centre")).where("size > 1")
-    near = stored(keyed.join(buckets, "key"), "buckets")
+    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("size"), centre.alias("centre")).where("size > 1"), "buckets")
+    near = stored(spread(keyed, buckets, "key", "id", buckets.where(F.col("size") > often(BANDS * leaders.count())).select("key", F.col("size").alias("m"))), "near")
+    forget(buckets)
     search.resolve(near.where("id <> centre.id").select(F.col("id").alias("x"), F.col("centre.id").alias("c"), F.col("n").alias("nx"), F.col("centre.n").alias("nc")), leaders, (1,))
 
-    small = stored(search.divided(near.where(F.col("size") <= SMALL)), "open")
+    small = search.divided(near.where(F.col("size") <= SMALL))
     pairs = small.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(small.select("key", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc")), "key")
     search.resolve(pairs.where(f"x > c AND rx <> rc AND least(nx, nc) * 100 >= greatest(nx, nc) * {percent}").select("x", "c", "nx", "nc"), leaders, ())
-    large = stored(search.divided(near.where(F.col("size") > SMALL)), "open")
+    large = search.divided(near.where(F.col("size") > SMALL))
     if not large.isEmpty():
         search.across(large, leaders)
 
-    final = search.rooted(base.select("id", "n", "d1", "d2").join(firsts, ["d1", "d2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep"))), "rep", "component")
-    component = F.coalesce("component", "id")
-    for gone in (leaders, near, small, large):
+    # each set finds its component, then each row its set; rows of the most copied sets find it by broadcast
+    most = often(base.count())
+    placed = stored(search.rooted(firsts.select("d1", "d2", "id", "copies"), "id", "component").drop("id"), "placed")
+    hot = F.broadcast(placed.where(F.col("copies") > most).drop("copies"))
+    rows = base.select("id", "n", "d1", "d2")
+    linked = rows.where("n > 0 AND id IS NOT NULL")
+    often_copied = linked.join(hot, ["d1", "d2"])
+    others = linked.join(hot, ["d1", "d2"], "left_anti").join(placed.where(F.col("copies") <= most).drop("copies"), ["d1", "d2"])
+    alone = rows.where("n = 0 OR id IS NULL").withColumn("component", F.col("id"))
+    final = alone.unionByName(often_copied).unionByName(others)
+    for gone in (firsts, near, small, large):
         forget(gone)
-    return final.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return final.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,58 @@ def test_large_buckets_are_searched_in_blocks(spark, monkeypatch):
     assert found(spark, rows, 2) == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("hot, most", [(3, 200_000), (3, 4)])
+def test_frequent_keys_are_dealt_to_several_tasks(spark, monkeypatch, hot, most):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "MOST_HOT", most)
+    monkeypatch.setattr(neardup, "ONE_TASK", 0)
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rnd = random.Random(7)
+    first = [f"v{i}" for i in range(50)]
+    rows = [(i, " ".join(first)) for i in range(40)] + [(40 + i, None) for i in range(20)]
+    for i in range(60, 140):
+        copy = list(first)
+        for _ in range(rnd.choice([1, 2, 4, 5])):
+            copy[rnd.randrange(len(copy))] = f"u{rnd.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+    assert found(spark, rows, 2) == brute(rows, 2, 80)
+
+
+def test_large_groups_of_exact_and_near_copies(spark):
+    rnd = random.Random(9)
+    first = [f"v{i}" for i in range(200)]
+    rows = [(i, "the same few words for all") for i in range(5000)]
+    for i in range(5000, 9000):
+        copy = list(first)
+        copy[rnd.randrange(200)] = f"u{rnd.randrange(5000)}"
+        rows.append((i, " ".join(copy)))
+    out = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert {(r.component_id, r.n) for r in out.groupBy("component_id").agg({"*": "count"}).toDF("component_id", "n").collect()} == {(0, 5000), (5000, 4000)}
+
+
+def test_joins_and_components_do_not_depend_on_partitions(spark):
+    rnd = random.Random(11)
+    first = [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        copy = list(first)
+        for _ in range(rnd.choice([0, 2, 5])):
+            copy[rnd.randrange(len(copy))] = f"u{rnd.randrange(20)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 5, 80)
+    for n in (1, 7):
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(df.repartition(n)).collect()} == want
+
+
+def test_an_id_with_several_texts_links_what_any_of_them_links(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, a), (5, a + " more"), (5, a + " more"), (5, b), (8, b + " end"), (9, "alone")]
+    out = {(r.doc_id, r.component_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert out == {(1, 1), (5, 1), (8, 1), (9, 9)}
+
+
 def test_empty_table_null_ids_repeated_rows_and_clashing_columns(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "a b c", 1, "x"), (3, "a b c", 1, "x"), (3, "a b c", 1, "x"), (7, "a b c", 2, "y")]
