@@ -161,3 +161,55 @@ def chunk_map(chunks: DataFrame, function) -> DataFrame:
 
     mapped = chunks.mapInPandas(run, fields)
     return mapped.withColumn("checksum", F.xxhash64("data"))
+
+
+# stored sizes
+
+#: Bytes of an element by type name.
+ITEM_BYTES = {"float16": 2, "float32": 4, "float64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8, "uint8": 1, "uint16": 2, "uint32": 4, "uint64": 8, "bool": 1}
+
+
+def preset(name: str) -> tuple[str, str | None]:
+    """Parquet codec and quantisation of a preset."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name}: one of {', '.join(PRESETS)}")
+    return PRESETS[name]
+
+
+def compressed(tensors: DataFrame, name: str = "int8_only", data: str = "data", dtype: str = "dtype") -> DataFrame:
+    """Quantises, then compresses: adds code (int8 codes, or null), packed (deflated bytes where the preset compresses),
+    algorithm, original_bytes, compressed_bytes and ratio. ``decompressed`` turns it back."""
+    codec, quantised = preset(name)
+    item = F.coalesce(F.create_map(*[F.lit(x) for kv in ITEM_BYTES.items() for x in kv])[F.col(dtype)], F.lit(8))
+    out = tensors.withColumn("original_bytes", (F.size(data) * item).cast("long"))
+    out = out.withColumn("code", F.when(F.size(data) > 0, int8(data)) if quantised == "int8" else F.lit(None).cast("struct<values:array<int>,scale:double,zero_point:bigint,constant:boolean>"))
+    values = float16(data) if quantised == "float16" else F.col(data)
+    small = {"int8": 1, "float16": 2}.get(quantised)
+    raw = F.size(data) * (F.lit(small) if small else item) + (24 if quantised == "int8" else 0)
+    packed = deflated(F.coalesce(F.transform("code.values", lambda x: x.cast("double")), values)) if codec != "none" else F.lit(None).cast("binary")
+    out = out.withColumn("packed", packed)
+    algorithm = "+".join(x for x in (quantised, None if codec == "none" else "deflate") if x) or "none"
+    bytes_ = F.octet_length("packed") if codec != "none" else raw
+    out = out.withColumn("algorithm", F.lit(algorithm)).withColumn("compressed_bytes", bytes_.cast("long"))
+    out = out.withColumn(data, F.when(F.col("code").isNull() & F.lit(codec == "none"), values))
+    return out.withColumn("ratio", F.coalesce(F.try_divide("original_bytes", "compressed_bytes"), F.lit(1.0)))
+
+
+def decompressed(rows: DataFrame, data: str = "data") -> DataFrame:
+    """The tensors of ``compressed`` rows again; int8 codes come back within half a step."""
+    values = F.coalesce(inflated("packed"), F.transform("code.values", lambda x: x.cast("double")))
+    coded = F.transform(values, lambda q: F.when(F.col("code.constant"), F.col("code.scale")).otherwise((q - F.col("code.zero_point")) * F.col("code.scale")))
+    return rows.withColumn(data, F.when(F.col("code").isNotNull(), coded).otherwise(F.coalesce(F.col(data), values))).drop("code", "packed", "algorithm", "original_bytes", "compressed_bytes", "ratio")
+
+
+def compression_stats(rows: DataFrame) -> DataFrame:
+    """(total, compressed, original_bytes, compressed_bytes, algorithms, ratio) of stored rows (dtype, data, _code); ratio 1 where there is nothing."""
+    item = F.coalesce(F.create_map(*[F.lit(x) for kv in ITEM_BYTES.items() for x in kv])[F.col("dtype")], F.lit(8))
+    coded = F.col("_code").isNotNull()
+    n = F.when(coded, F.size("_code.values")).otherwise(F.size("data"))
+    sized = rows.select(coded.alias("coded"), (n * item).alias("before"), F.when(coded, n + 24).otherwise(n * item).alias("after"), F.when(coded, F.lit("int8")).otherwise(F.lit("none")).alias("algorithm"))
+    out = sized.agg(
+        F.count("*").alias("total"), F.count_if("coded").alias("compressed"), F.coalesce(F.sum("before"), F.lit(0)).cast("long").alias("original_bytes"),
+        F.coalesce(F.sum("after"), F.lit(0)).cast("long").alias("compressed_bytes"), F.array_join(F.array_sort(F.collect_set("algorithm")), ",").alias("algorithms"),
+    )
+    return out.withColumn("ratio", F.coalesce(F.try_divide("original_bytes", "compressed_bytes"), F.lit(1.0)))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tensorloom.functions import dual
+
 # matrices
 
 
@@ -102,8 +104,21 @@ def convolve(signal: np.ndarray, kernel: np.ndarray, mode: str = "valid") -> np.
     return np.tensordot(windows, np.flip(kernel), axes=kernel.ndim)
 
 
-def gradient(function: Callable[[np.ndarray], float], x: np.ndarray, step: float = 1e-6) -> np.ndarray:
-    """Central differences of a scalar function; no automatic differentiation is at hand."""
+def gradient(function: Callable, x: np.ndarray) -> np.ndarray:
+    """Exact derivatives of a scalar function of arrays (see ``functions.dual`` for what it may use)."""
+    value, slope = dual.derivatives(function, x)
+    if value.shape not in ((), (1,)):
+        raise ValueError("the function isn't scalar")
+    return slope.reshape(np.shape(x))
+
+
+def jacobian(function: Callable, x: np.ndarray) -> np.ndarray:
+    """Exact derivatives of an array's elements with respect to the input's."""
+    return dual.derivatives(function, x)[1]
+
+
+def differences(function: Callable[[np.ndarray], float], x: np.ndarray, step: float = 1e-6) -> np.ndarray:
+    """Central differences, for scalar functions that dual numbers can't pass through."""
     out = np.zeros_like(x, float)
     for at in np.ndindex(x.shape):
         up, down = x.astype(float).copy(), x.astype(float).copy()
@@ -113,9 +128,12 @@ def gradient(function: Callable[[np.ndarray], float], x: np.ndarray, step: float
     return out
 
 
-def jacobian(function: Callable[[np.ndarray], np.ndarray], x: np.ndarray, step: float = 1e-6) -> np.ndarray:
-    parts = [gradient(lambda v, k=k: np.ravel(function(v))[k], x, step) for k in range(np.size(function(x)))]
-    return np.array(parts).reshape(*np.shape(function(x)), *x.shape)
+def array_of(entries: list[tuple[list[int], float]], shape: list[int]) -> np.ndarray:
+    """A dense array of (position, value) entries."""
+    out = np.zeros(shape)
+    for at, value in entries:
+        out[tuple(at)] = value
+    return out
 
 
 # decompositions
@@ -182,6 +200,30 @@ def tucker(a: np.ndarray, ranks: list[int], rounds: int = 30, seed: int = 0, non
     return core, factors
 
 
+def partial_tucker(a: np.ndarray, ranks: list[int | None], rounds: int = 30) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """Core and factors of the modes that have a rank; a mode with None stays as it is and has no factor."""
+    if len(ranks) != a.ndim or any(r is not None and not 1 <= r <= d for r, d in zip(ranks, a.shape)):
+        raise ValueError("one rank for each dimension, between 1 and its size, or None, is needed")
+    modes = [k for k, r in enumerate(ranks) if r is not None]
+    factors: list[np.ndarray | None] = [np.linalg.svd(unfold(a, k), full_matrices=False)[0][:, :r] if r is not None else None for k, r in enumerate(ranks)]
+    for _ in range(rounds if len(modes) > 1 else 0):
+        for k in modes:
+            rest = a
+            for m in modes:
+                rest = rest if m == k else mode_product(rest, factors[m].T, m)
+            factors[k] = np.linalg.svd(unfold(rest, k), full_matrices=False)[0][:, : ranks[k]]
+    core = a
+    for k in modes:
+        core = mode_product(core, factors[k].T, k)
+    return core, factors
+
+
+def from_partial_tucker(core: np.ndarray, factors: list[np.ndarray | None]) -> np.ndarray:
+    for k, f in enumerate(factors):
+        core = core if f is None else mode_product(core, f, k)
+    return core
+
+
 def hosvd(a: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     factors = [np.linalg.svd(unfold(a, k), full_matrices=False)[0] for k in range(a.ndim)]
     core = a
@@ -427,3 +469,19 @@ def array_udf(kernel: Callable[..., np.ndarray], *columns, shapes: list[list[int
         return pd.Series(out, dtype="object")
 
     return run(*columns)
+
+
+def matmul_udf(a, b, left: list[int], right: list[int]) -> Column:
+    """The products of dense matrices of known shapes, a batch at a time."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        own = np.flatnonzero(x.notna() & y.notna())
+        out = pd.Series([None] * len(x), dtype="object")
+        if len(own):
+            p, q = (np.stack(s.iloc[own].to_numpy()).astype(float).reshape(-1, *d) for s, d in ((x, left), (y, right)))
+            for i, row in zip(own.tolist(), (p @ q).reshape(len(own), -1)):
+                out.iloc[i] = row
+        return out
+
+    return run(a, b)

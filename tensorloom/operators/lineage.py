@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.sources.cut import written
+from tensorloom.sources.cut import forget, written
 
 OPERATIONS = "operation_id string, operation_type string, status string, started_at timestamp, completed_at timestamp, user_id string, error_message string"
 EDGES = "child long, parent long, operation_id string"
@@ -14,12 +14,37 @@ MERGED = 16
 
 
 def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth: int | None) -> DataFrame:
-    """(origin, node, depth), the least depth of each, by breadth-first steps; cycles end as known nodes aren't visited again.
+    """(origin, node, depth), the least depth of each; depth, if given, asks for the nodes within so many steps.
 
-    It ends when a step reaches nothing new; depth, if given, asks for the nodes within so many steps.
+    From few nodes it goes breadth-first, from many by doubling; cycles end as a pair is kept with its least depth.
     """
     ways = written(edges.select(F.col(source).alias("node"), F.col(target).alias("_to")).where("node IS NOT NULL AND _to IS NOT NULL").distinct(), "lineage")
-    frontier = written(start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0)), "lineage")
+    begin = written(start.select(F.col("node").alias("origin")).distinct(), "lineage")
+    if 2 * begin.count() >= ways.count():
+        return _doubled(ways, depth).join(begin, "origin", "left_semi").select("origin", "node", "depth")
+    return _breadth_first(ways, begin.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")), depth)
+
+
+def _doubled(ways: DataFrame, depth: int | None) -> DataFrame:
+    """The pairs of all nodes: after k rounds those up to 2**k steps apart, so that rounds grow with the logarithm of the depth."""
+    pairs = written(ways.select(F.col("node").alias("origin"), F.col("_to").alias("node"), F.lit(1).alias("depth")).where("origin <> node"), "lineage")
+    reach = 1
+    while depth is None or reach < depth:
+        longest = pairs.agg(F.max("depth")).first()[0]
+        if longest is None or longest < reach:
+            break
+        # a way longer than reach begins with one of just reach steps
+        first = pairs.where(F.col("depth") == reach).select("origin", F.col("node").alias("_by"))
+        rest = pairs.select(F.col("origin").alias("_by"), "node", F.col("depth").alias("_more"))
+        longer = first.join(rest, "_by").select("origin", "node", (F.lit(reach) + F.col("_more")).alias("depth")).where("origin <> node")
+        before, pairs = pairs, written(pairs.union(longer).groupBy("origin", "node").agg(F.min("depth").alias("depth")), "lineage")
+        forget(before)
+        reach *= 2
+    return pairs if depth is None else pairs.where(F.col("depth") <= depth)
+
+
+def _breadth_first(ways: DataFrame, frontier: DataFrame, depth: int | None) -> DataFrame:
+    """Step by step; known nodes aren't visited again, and it ends when a step reaches nothing new."""
     found, step = frontier, 0
     while depth is None or step < depth:
         step += 1
@@ -72,6 +97,42 @@ def shortest_path(spark, edges: DataFrame, source: int, target: int, depth: int
     return frontier.where(F.col("node") == source).select("nodes", "hops")
 
 
+def recorded(operations: DataFrame, edges: DataFrame, new_operations: DataFrame, inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log and the edges with more operations; inputs and outputs: (operation_id, tensor).
+
+    Every output of an operation descends from each of its inputs; an operation without inputs makes roots. One that
+    is recorded again changes nothing.
+    """
+    fresh = new_operations.join(operations.select("operation_id"), "operation_id", "left_anti").dropDuplicates(["operation_id"])
+    made = outputs.select("operation_id", F.col("tensor").alias("child")).join(inputs.select("operation_id", F.col("tensor").alias("parent")), "operation_id", "left")
+    made = made.join(fresh.select("operation_id"), "operation_id", "left_semi").select("child", "parent", "operation_id").distinct()
+    return operations.unionByName(fresh), edges.unionByName(made)
+
+
+def with_depths(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth) of known nodes and the children of new edges (child, parent): one more than the deepest parent, 0 for roots.
+
+    Edges among new nodes are followed level by level; a node whose parents aren't known yet waits for them, and what
+    waits for itself is an error.
+    """
+    done = known.select("node", "depth")
+    todo = written(edges.select("child", "parent").distinct(), "lineage")
+    left = todo.select("child").distinct().count()
+    while left:
+        reached = todo.join(done.withColumnRenamed("node", "parent"), "parent", "left")
+        # parents that are neither known nor made by a new edge count as roots
+        open_ = todo.select(F.col("child").alias("parent")).distinct().withColumn("_open", F.lit(True))
+        ready = reached.join(open_, "parent", "left").groupBy("child").agg(F.max(F.coalesce("_open", F.lit(False))).alias("_waits"), F.max(F.coalesce("depth", F.when(F.col("parent").isNotNull(), F.lit(0)))).alias("d"))
+        new = written(ready.where("NOT _waits").select(F.col("child").alias("node"), F.coalesce(F.col("d") + 1, F.lit(0)).alias("depth")), "lineage")
+        n = new.count()
+        if not n:
+            raise ValueError("the edges form a cycle")
+        done = written(done.join(new.select("node"), "node", "left_anti").union(new), "lineage")
+        todo = written(todo.join(new.select(F.col("node").alias("child")), "child", "left_anti"), "lineage")
+        left -= n
+    return done
+
+
 def parents(edges: DataFrame, node: int) -> DataFrame:
     return edges.where(F.col("child") == node).select("parent").distinct()
 

@@ -183,17 +183,44 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "doc_id", k: int = 0) -> DataFrame:
-    """(key, score): for each distinct query token that a row has, 1 plus a hundredth of how often it has it; k = 0 returns all."""
+def query_tokens(query: str) -> list[str]:
     import re
 
-    wanted = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
-    score = F.lit(0.0)
+    return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
+
+
+def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "doc_id", k: int = 0) -> DataFrame:
+    """(key, score): for each distinct query token that a row has, 1 plus a hundredth of how often it has it; the best k, or all in no order.
+
+    A text is split into tokens once, and only if it holds one of the query's as a substring.
+    """
+    wanted = query_tokens(query)
+    low = F.lower(text)
+    some = F.lit(False)
     for t in wanted:
-        n = F.regexp_count("_text", F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))
-        score += F.when(n > 0, 1.0 + 0.01 * n).otherwise(0.0)
-    out = documents.select(key, F.lower(text).alias("_text")).select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key)
-    return out.limit(k) if k else out
+        some |= F.contains(low, F.lit(t))
+
+    def counted(own: Column) -> Column:
+        score = F.lit(0.0)
+        for t in wanted:
+            n = F.size(F.array_remove(own, t))
+            score += F.when(n < F.size(own), 1.0 + 0.01 * (F.size(own) - n)).otherwise(0.0)
+        return score
+
+    out = documents.where(some).select(key, D.bound(F.split(low, r"[^\p{L}\p{N}]+"), counted).alias("score")).where("score > 0")
+    return out.orderBy(F.desc("score"), key).limit(k) if k else out
+
+
+def postings(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(token, key, n), to be written sorted by token: a search then reads the row groups of its tokens."""
+    counted = documents.select(key, F.explode(tokens(text)).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
+    return counted.repartitionByRange("token", key).sortWithinPartitions("token", key)
+
+
+def posting_search(table: DataFrame, query: str, key: str = "doc_id", k: int = 0) -> DataFrame:
+    """``full_text`` over a table of postings."""
+    found = table.where(F.col("token").isin(query_tokens(query))).groupBy(key).agg(F.sum(1.0 + 0.01 * F.col("n")).alias("score"))
+    return found.orderBy(F.desc("score"), key).limit(k) if k else found
 
 
 def facets(documents: DataFrame, field: str) -> DataFrame:
@@ -201,8 +228,8 @@ def facets(documents: DataFrame, field: str) -> DataFrame:
 
 
 def hashed_embedding(text: str, size: int = 64) -> Column:
-    """An offline stand-in for a text encoder: counts of token hashes, normalised."""
-    codes = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+    """An offline stand-in for a text encoder: counts of token hashes (the first 32 bits of their MD5), normalised."""
+    codes = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int"))
 
     def counts(own: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda c: c == i)).cast("double"))

@@ -173,7 +173,7 @@ def _nql(name, text, sql):
 _nql("nql_get_all", "get all records from parts", "true")
 _nql("nql_meta_eq", "find records from parts where brand is 'Brand#11'", "p_brand = 'Brand#11'")
 _nql("nql_meta_range", "find records from parts where size >= 40", "p_size >= 40")
-_nql("nql_tensor_idx", "find tensors from parts where tensor[1] > 1000.5", "p_retailprice > 1000.5")
+_nql("nql_tensor_idx", "find tensors from parts where tensor[1] > 910.5", "p_retailprice > 910.5")
 _nql("nql_string_vs_num", "find records from parts where code = 7", "p_size = 7")
 _nql("nql_string_range", "find records from parts where code > 7", "false")
 _nql("nql_bool_text", "find records from parts where large = 'True'", "p_size > 25")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tensorloom import model
 from tensorloom.functions import dense as D
-from tensorloom.functions import descriptor
+from tensorloom.functions import descriptor, dual
 from tensorloom.operators import elements as E
+from tensorloom.operators import linalg
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,7 +38,7 @@ def pairs(spark, sf) -> DataFrame:
 
 def cells(df: DataFrame, column: str = "data", digits: int = 6) -> DataFrame:
     out = model.elements(df, "vec_id", column)
-    return out.select("vec_id", "pos", F.round("value", digits).alias("value"))
+    return out.select("vec_id", "pos", (F.round("value", digits) + 0.0).alias("value"))
 
 
 def _binary(name, op, sql):
@@ -61,20 +62,33 @@ def dot_neighbours(spark, sf):
     return pairs(spark, sf).select("vec_id", F.round(D.dot("a", "b"), 6).alias("dot"))
 
 
-@query(f"WITH {PAIRS} SELECT vec_id, CAST(i * 4 + j AS BIGINT) AS pos, round(a[i + 1] * b[j + 1], 6) AS value FROM p, (SELECT unnest(range(0, 4)) AS i) u, (SELECT unnest(range(0, 4)) AS j) w")
-def outer_small(spark, sf):
-    return cells(pairs(spark, sf).select("vec_id", D.outer(F.slice("a", 1, 4), F.slice("b", 1, 4)).alias("data")))
+@query(f"WITH {PAIRS} SELECT vec_id, CAST(i AS BIGINT) - 1 AS pos, round(a[i] * list_sum(b), 6) + 0 AS total, round(a[i] * b[i], 6) + 0 AS diagonal FROM p, (SELECT unnest(range(1, 65)) AS i) u")
+def outer_rows(spark, sf):
+    """The 64 x 64 outer products of neighbours, by row: its sum and its element on the diagonal."""
+    v = pairs(spark, sf).select("vec_id", D.outer("a", "b").alias("o"))
+    rows = v.select("vec_id", F.posexplode(model.nested("o", [64, 64])).alias("pos", "row"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round(D.total("row"), 6) + 0.0).alias("total"), (F.round(F.get("row", F.col("pos")), 6) + 0.0).alias("diagonal"))
 
 
-@query(f"WITH {PAIRS} SELECT vec_id, round(a[2] * b[3] - a[3] * b[2], 6) AS x, round(a[3] * b[1] - a[1] * b[3], 6) AS y, round(a[1] * b[2] - a[2] * b[1], 6) AS z FROM p")
-def cross_first_three(spark, sf):
-    c = D.cross("a", "b")
-    return pairs(spark, sf).select("vec_id", *[F.round(c[i], 6).alias(n) for i, n in enumerate("xyz")])
+@query(f"WITH {PAIRS} SELECT vec_id, CAST(i AS BIGINT) - 1 AS pos, round(a[i + 1] * b[i + 2] - a[i + 2] * b[i + 1], 6) AS x, round(a[i + 2] * b[i] - a[i] * b[i + 2], 6) AS y, round(a[i] * b[i + 1] - a[i + 1] * b[i], 6) AS z FROM p, (SELECT unnest(range(1, 63)) AS i) u")
+def cross_windows(spark, sf):
+    """The cross product of each three consecutive elements of neighbours."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(61))).alias("pos")
+    w = pairs(spark, sf).select("vec_id", at, "a", "b").select("vec_id", "pos", D.cross(F.slice("a", F.col("pos") + 1, F.lit(3)), F.slice("b", F.col("pos") + 1, F.lit(3))).alias("c"))
+    return w.select("vec_id", F.col("pos").cast("long").alias("pos"), *[F.round(F.get("c", F.lit(i)), 6).alias(n) for i, n in enumerate("xyz")])
 
 
 @query(f"WITH {GRID} SELECT x.vec_id, x.i, y.j, round(sum(x.v * y.v), 6) AS value FROM g x JOIN g y ON x.vec_id = y.vec_id AND x.j = y.i GROUP BY ALL")
 def matmul_8x8(spark, sf):
-    """Each matrix times itself."""
+    """Each matrix times itself: dense rows, no shuffle."""
+    square = linalg.matmul_udf("data", "data", [8, 8], [8, 8])
+    v = model.vectors(spark, sf).select("vec_id", F.posexplode(square).alias("pos", "value"))
+    return v.select("vec_id", F.floor(F.col("pos") / 8).cast("long").alias("i"), (F.col("pos") % 8).cast("long").alias("j"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {GRID} SELECT x.vec_id, x.i, y.j, round(sum(x.v * y.v), 6) AS value FROM g x JOIN g y ON x.vec_id = y.vec_id AND x.j = y.i GROUP BY ALL")
+def matmul_elements(spark, sf):
+    """The same in the element form, which large or sparse matrices need."""
     m = model.matrices(spark, sf)
     return E.matmul(m, m, "vec_id").select("vec_id", "i", "j", F.round("value", 6).alias("value"))
 
@@ -118,11 +132,11 @@ def concat_vec(spark, sf):
     return cells(pairs(spark, sf).select("vec_id", F.concat("a", "b").alias("data")))
 
 
-@query("WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings) SELECT label, CAST(k * 64 + i - 1 AS BIGINT) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM s, (SELECT unnest(range(1, 65)) AS i) u WHERE k < 3")
+@query("WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings) SELECT label, CAST(k * 64 + i - 1 AS BIGINT) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM s, (SELECT unnest(range(1, 65)) AS i) u")
 def stack_label(spark, sf):
-    """The first three vectors of each label as one tensor of shape (3, 64), in element form."""
+    """The n vectors of each label as one tensor of shape (n, 64), in element form."""
     at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    v = model.vectors(spark, sf).withColumn("at", at).where("at < 3")
+    v = model.vectors(spark, sf).withColumn("at", at)
     e = v.select("label", "at", F.posexplode("data").alias("pos", "value"))
     return e.select("label", (F.col("at") * 64 + F.col("pos")).cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
@@ -225,16 +239,16 @@ def index_statistics(spark, sf):
     return out.select("count", "shapes", F.round("avg_norm", 5).alias("avg_norm"), "sparse_count", "square_count")
 
 
-@query(f"WITH {CELLS} SELECT x.pos AS a, y.pos AS b, round(covar_samp(x.v, y.v), 6) AS cov FROM c x JOIN c y USING (vec_id) WHERE x.pos <= y.pos AND y.pos < 8 GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT x.pos AS a, y.pos AS b, round(covar_samp(x.v, y.v), 6) AS cov FROM c x JOIN c y USING (vec_id) WHERE x.pos <= y.pos GROUP BY ALL")
 def cov_pairs(spark, sf):
-    """All pairs of the 64 positions; the SQL beside it has those of the first eight only."""
+    """All pairs of the 64 positions."""
     e = model.elements(model.vectors(spark, sf), "vec_id")
     return E.covariance(e, "pos", "vec_id").select("a", "b", F.round("cov", 6).alias("cov"))
 
 
-@query(f"WITH {CELLS} SELECT x.pos AS a, y.pos AS b, round(corr(x.v, y.v), 6) AS corr FROM c x JOIN c y USING (vec_id) WHERE x.pos <= y.pos AND y.pos < 8 GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT x.pos AS a, y.pos AS b, round(corr(x.v, y.v), 6) AS corr FROM c x JOIN c y USING (vec_id) WHERE x.pos <= y.pos GROUP BY ALL")
 def corr_pairs(spark, sf):
-    """All pairs of the 64 positions; the SQL beside it has those of the first eight only."""
+    """All pairs of the 64 positions."""
     e = model.elements(model.vectors(spark, sf), "vec_id")
     return E.covariance(e, "pos", "vec_id").select("a", "b", F.round("corr", 6).alias("corr"))
 
@@ -245,6 +259,52 @@ def conv1d_valid(spark, sf):
     return E.convolve(e, [1.0, -2.0, 0.5], "vec_id", "pos", 64).select("vec_id", "pos", F.round("value", 6).alias("value"))
 
 
+def _conv_sql(offsets: list[tuple[list[int], float]], shape: list[int], size: list[int], index: list[str]) -> str:
+    """A sum over the kernel's elements; index: names of the output's positions from 0."""
+    strides = [1] * len(shape)
+    for k in range(len(shape) - 2, -1, -1):
+        strides[k] = strides[k + 1] * shape[k + 1]
+    terms = []
+    for at, w in offsets:
+        pos = " + ".join(f"({n} + {s - 1 - a}) * {t}" for n, a, s, t in zip(index, at, size, strides))
+        terms.append(f"{w} * CAST(embedding[{pos} + 1] AS DOUBLE)")
+    return " + ".join(terms)
+
+
+_K2 = [([0, 0], 1.0), ([0, 1], -2.0), ([1, 0], 0.5), ([1, 1], 3.0)]
+_K3 = [([0, 0, 0], 1.0), ([0, 1, 1], -1.5), ([1, 0, 1], 0.25), ([1, 1, 0], 2.0)]
+
+
+@query(f"SELECT vec_id, i * 7 + j AS pos, round({_conv_sql(_K2, [8, 8], [2, 2], ['i', 'j'])}, 6) AS value FROM embeddings, (SELECT CAST(unnest(range(0, 7)) AS BIGINT) AS i) a, (SELECT CAST(unnest(range(0, 7)) AS BIGINT) AS j) b")
+def conv2d_valid(spark, sf):
+    kernel = linalg.array_of(_K2, [2, 2])
+    out = linalg.array_udf(lambda a: linalg.convolve(a, kernel), "data", shapes=[[8, 8]])
+    return cells(model.vectors(spark, sf).select("vec_id", out.alias("data")))
+
+
+@query(f"SELECT vec_id, (i * 3 + j) * 3 + k AS pos, round({_conv_sql(_K3, [4, 4, 4], [2, 2, 2], ['i', 'j', 'k'])}, 6) AS value FROM embeddings, (SELECT CAST(unnest(range(0, 3)) AS BIGINT) AS i) a, (SELECT CAST(unnest(range(0, 3)) AS BIGINT) AS j) b, (SELECT CAST(unnest(range(0, 3)) AS BIGINT) AS k) c")
+def conv3d_valid(spark, sf):
+    kernel = linalg.array_of(_K3, [2, 2, 2])
+    out = linalg.array_udf(lambda a: linalg.convolve(a, kernel), "data", shapes=[[4, 4, 4]])
+    return cells(model.vectors(spark, sf).select("vec_id", out.alias("data")))
+
+
+@query("SELECT vec_id, CAST(i AS BIGINT) - 1 AS pos, round(3 * CAST(embedding[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE) + exp(CAST(embedding[i] AS DOUBLE)) - 2, 6) AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u")
+def gradient_exact(spark, sf):
+    """The gradient of the sum of x^3 + exp(x) - 2 x, by dual numbers."""
+    out = linalg.array_udf(lambda a: linalg.gradient(lambda x: (x**3 + dual.exp(x) - 2 * x).sum(), a), "data", shapes=[[64]])
+    return cells(model.vectors(spark, sf).select("vec_id", out.alias("data")))
+
+
+@query("SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, round(CASE WHEN j = i THEN CAST(embedding[k] AS DOUBLE) ELSE CAST(embedding[i] AS DOUBLE) END, 6) AS value, CAST(j - 1 AS BIGINT) AS wrt FROM embeddings, (SELECT unnest(range(1, 64)) AS i) u, LATERAL (SELECT unnest([i, i + 1]) AS j, unnest([i + 1, i]) AS k) w")
+def jacobian_exact(spark, sf):
+    """The Jacobian of the products of neighbouring elements: its entries other than 0."""
+    out = linalg.array_udf(lambda a: linalg.jacobian(lambda x: x[:-1] * x[1:], a), "data", shapes=[[64]])
+    rows = model.vectors(spark, sf).select("vec_id", F.posexplode(out).alias("at", "value"))
+    rows = rows.select("vec_id", F.floor(F.col("at") / 64).cast("long").alias("pos"), (F.col("at") % 64).cast("long").alias("wrt"), "value")
+    return rows.where("wrt = pos OR wrt = pos + 1").select("vec_id", "pos", "wrt", F.round("value", 6).alias("value"))
+
+
 SPARSE = "s AS (SELECT l_orderkey AS i, CAST(l_linenumber AS BIGINT) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
