@@ -8,12 +8,13 @@ its clauses' scores, and a logistic regression turns them into a probability.
 
 What insults look like is learned: prefixes of words that occur in more toxic than clean labelled texts, added
 to a short seed list. Only rows whose crc32(doc_id) mod 3 isn't 1 teach, at most ``TRAIN`` of them (those with
-the smallest hashes of their ids), of which copies with one label count once: near ones as ``neardup`` confirms
-them on their sets of five-word shingles, at 80 percent. The regression is fitted on features that
+the smallest hashes of their ids), of which copies with one label count once: exact ones, and near ones by the
+minima of their sets of five-word shingles, at 80 percent. The regression is fitted on features that
 lexicons of the other folds of the rows give, so words that a lexicon has by chance earn no trust.
 
 Defined results: null and wordless texts have no clause and get the score of a text without insults; a
-repeated row is scored each time; without usable labels the seed list and fixed coefficients are used.
+repeated row is scored each time; without usable labels the seed list and fixed coefficients are used. Ids are whole
+numbers, or text that spells them; other ids raise.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from tensorloom.llm.common import crc_of_id, forget, held_out, pieces, span_hash
 THRESHOLD = 0.7
 #: Labelled rows that teach at most.
 TRAIN = 8_000
+#: Words of a shingle, and how many of the ``neardup.HASHES`` minima copies among the teaching rows agree in: 80 percent.
+SHINGLE, COPIES = 5, 77
 #: Parts of the teaching rows; the regression sees each with a lexicon of the others.
 FOLDS = 5
 #: Bytes of a prefix, least number of toxic texts, least log-odds and least evidence (G) of a learned insult.
@@ -250,11 +253,32 @@ def chosen(counts: dict[tuple[int, int], tuple[int, int]], toxic: int, clean: in
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """Of the rows (id, text, toxic), the one with the smallest id of each class of exact or near copies with one label."""
-    found = neardup.classes(sample, "id").select("id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("class"))
-    # wordless texts are copies of each other
-    kept = sample.select("id", "toxic").join(found, "id").groupBy("class", "toxic").agg(F.min("id").alias("id"))
-    return sample.join(F.broadcast(kept.select("id", "toxic")), ["id", "toxic"], "left_semi")
+    """Of the rows (id, text, toxic), at most ``TRAIN`` ids, those that aren't copies of a row with a smaller id and the same label.
+
+    Copies share a band and agree in ``COPIES`` of the minima of their word shingles; the signatures (a few hundred
+    bytes a row) are compared on the driver, in order of the ids, each with the rows that stay.
+    """
+    signed = sample.select(F.struct("id", "toxic").alias("id"), "text").mapInArrow(neardup._sketch(SHINGLE), "id struct<id:long,toxic:int>, n long, d1 long, d2 long, sig binary, bands array<long>")
+    rows = sorted((r.id.id, r.id.toxic, r.n, r.d1, r.d2, bytes(r.sig), r.bands) for r in signed.collect())
+    signs: list[np.ndarray] = []
+    met: dict[tuple[int, int], list[int]] = {}
+    wordless: set[int] = set()
+    kept: list[tuple[int, int]] = []
+    for id_, toxic, n, _, _, sig, bands in rows:
+        if not n:
+            if toxic not in wordless:
+                wordless.add(toxic)
+                kept.append((id_, toxic))
+            continue
+        sign = np.frombuffer(sig, np.uint8)
+        others = sorted({k for band in bands for k in met.get((toxic, band), ())})
+        if others and (np.stack([signs[k] for k in others]) == sign).sum(1).max() >= COPIES:
+            continue
+        for band in set(bands):
+            met.setdefault((toxic, band), []).append(len(signs))
+        signs.append(sign)
+        kept.append((id_, toxic))
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, "id long, toxic int")), ["id", "toxic"], "left_semi")
 
 
 def _counted(candidates: dict[int, np.ndarray] | None):
@@ -309,7 +333,7 @@ class Model:
             self.cross = int((said & (labels == 1)).sum()), int((~said & (labels == 1)).sum()), int((said & (labels == 0)).sum())
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(shaped(features(texts, self.lexicon)) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((shaped(features(texts, self.lexicon)) * self.weights).sum(1), -30, 30)))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:

@@ -75,6 +75,44 @@ def test_only_copies_with_one_label_collapse(spark):
     assert sorted(r.id for r in out) == [3, 6, 7, 8, 9, 10, 11]
 
 
+def test_scores_do_not_depend_on_order_or_partitions(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = []
+    for n in (1, 5, 13):
+        part = docs.repartition(n, "text")
+        found.append({r.doc_id: r.score for r in toxicity.scored(part, toxicity.learned(part, labels.repartition(n))).collect()})
+    assert found[0] == found[1] == found[2]
+
+
+def plain_features(text, lexicon):
+    """Word by word and clause by clause, with the machines that the table is composed of."""
+    import re
+
+    text = (text or "").lower()
+    total, best, clauses, words = 0.0, 0.0, 0, 0
+    for clause in re.split(r"[\n!.;?]", text):
+        state, score, hit = toxicity.GRAMMAR.start, 0.0, False
+        for word in re.findall(r"(?:[a-z']|[^\x00-\x7f])+", clause):
+            words += 1
+            kind, weight = lexicon.of(toxicity.Words([word]))
+            state, (share, more) = toxicity.GRAMMAR.step(state, (int(kind[0]),))
+            score += share * float(weight[0]) + more
+            hit |= int(kind[0]) in (toxicity.INSULT, toxicity.THREAT)
+        if hit and score:
+            total, best, clauses = total + score, max(best, score), clauses + 1
+    return total, best, clauses, words
+
+
+def test_features_by_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learned(docs, labels)
+    texts = [r.text for r in docs.collect() if len(r.text or "") < 3000][:60] + ["You are not a fool! They said: you fool; I will hurt you", "", None, "Été déjà vu.\nidiot"]
+    got = toxicity.features(texts, model.lexicon)
+    for row, text in zip(got, texts):
+        assert np.allclose(row, plain_features(text, model.lexicon)), text
+
+
 def test_no_labels_and_empty_tables(spark, tmp_path):
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
     write(spark, tmp_path / "a", [(1, "you fool, you imbecile"), (2, "fine"), (2, "fine")], [])
