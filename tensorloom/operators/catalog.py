@@ -85,11 +85,41 @@ def derived_usage(usage: DataFrame, history: str = "access_history") -> DataFram
     return usage.withColumn("usage_frequency", F.coalesce(F.size(history), F.lit(0))).withColumn("last_accessed_at", F.array_max(F.transform(history, lambda h: h["accessed_at"])))
 
 
+def one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """A row of each key: of several the one that comes last as JSON, so that the result doesn't depend on their order."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.to_json(F.struct(*[F.col(c) for c in rows.columns])))))
+    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+
+
 def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """One row per key, the new ones in place of the stored: copy on write."""
+    new = one_of_each(new, key)
     return stored.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def attached(stored: DataFrame, new: DataFrame, tensors: DataFrame, key: str = "tensor_id", name: str | None = None) -> DataFrame:
+    """Upserts a kind of metadata, one row for each tensor, or for each tensor and name; unknown tensors are an error."""
+    keys = [key] if name is None else [key, name]
+    known = new.join(tensors.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    right = known.where(F.assert_true(F.col("_known").isNotNull(), F.concat(F.lit("no tensor "), F.col(key).cast("string"))).isNull()).drop("_known")
+    if name is None:
+        return upserted(stored, right, key)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.to_json(F.struct(*[F.col(c) for c in new.columns])))))
+    right = right.select(new.columns).withColumn("_n", last).where("_n = 1").drop("_n")
+    return stored.join(right.select(keys), keys, "left_anti").unionByName(right)
+
+
+def cascaded(tensors: DataFrame, gone: DataFrame, key: str = "tensor_id", **kinds: DataFrame) -> dict[str, DataFrame]:
+    """The tensors and each kind of metadata without those that are gone."""
+    return {name: rows.join(gone.select(key), key, "left_anti") for name, rows in ({"tensors": tensors} | kinds).items()}
+
+
+def versions_of(edges: DataFrame, tensor) -> DataFrame:
+    """(node) of a tensor and its direct versions."""
+    direct = edges.where((F.col("parent") == tensor) & (F.col("relation") == "new_version_of")).select(F.col("child").alias("node"))
+    return edges.sparkSession.range(1).select(F.lit(tensor).alias("node")).union(direct).distinct()
+
+
 def exported(descriptors: DataFrame, key: str = "tensor_id", **kinds: DataFrame) -> DataFrame:
     """One row per descriptor with each kind of metadata as a list of structs."""
     out = descriptors
@@ -106,6 +136,7 @@ def imported(stored: DataFrame, new: DataFrame, key: str = "tensor_id", conflict
     if conflict not in ("skip", "overwrite"):
         raise ValueError(f"unknown strategy {conflict}")
     known = stored.select(key).distinct().withColumn("_known", F.lit(True))
+    new = one_of_each(new, key)
     action = F.when(F.col("_known").isNull(), "imported").otherwise("skipped" if conflict == "skip" else "overwritten")
     marked = new.join(known, key, "left").withColumn("action", action).drop("_known")
     merged = upserted(stored, new, key) if conflict == "overwrite" else stored.unionByName(marked.where("action = 'imported'").drop("action"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tensorloom.functions import dense as D
 from tensorloom.operators import linalg
 
-#: Queries that one pass scores at most; more are taken in blocks.
-QUERY_BLOCK = 1024
+#: Queries of a block, and rows of a group that a block meets at once where there are several blocks.
+QUERY_BLOCK, GROUP_ROWS = 1024, 20_000
 
 
 def literal(values) -> Column:
@@ -53,49 +53,65 @@ def matches_filter(metadata: str, **wanted: str) -> Column:
     return out
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", data: str = "data") -> Iterator[DataFrame] | DataFrame:
+def _nearest_of(ids: np.ndarray, q: np.ndarray, k: int, metric: str, best: tuple[np.ndarray, np.ndarray], who: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores and ids of each query, of those so far and some more rows; a query doesn't find itself."""
+    product = q @ x.T
+    if metric == "cosine":
+        score = product / np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)), 1e-300)
+    elif metric == "l2":
+        score = 1 / (1 + np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * product, 0))
+    else:
+        score = product
+    score[ids[:, None] == who] = -np.inf
+    every, names = np.hstack([best[0], score]), np.hstack([best[1], np.broadcast_to(who, score.shape)])
+    order = np.lexsort((names, -every), axis=1)[:, :k]
+    return np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+
+
+def _rows_of(ids: np.ndarray, best: tuple[np.ndarray, np.ndarray], key: str) -> pd.DataFrame:
+    ok = np.isfinite(best[0])
+    return pd.DataFrame({"query_id": np.repeat(ids, ok.sum(1)), key: best[1][ok], "score": best[0][ok]})
+
+
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", data: str = "data") -> DataFrame:
     """(query id, id, score, rank) of the k nearest of each query, itself excluded; ``queries`` is a stated query set.
 
-    Queries reach the executors in blocks of QUERY_BLOCK (its bytes bound the broadcast). Each task keeps k rows
-    for a query, so only k rows a task and query are shuffled.
+    A block of at most QUERY_BLOCK queries (which bounds its bytes) goes to all tasks of one scan. More queries are
+    dealt to blocks, and each block meets each group of some GROUP_ROWS rows in a task of its own, without the
+    driver. Each task keeps k rows for a query, so only those are shuffled on.
     """
-    out = None
     schema = f"query_id long, {key} long, score double"
-    # one block of queries on the driver at a time
-    held: list = []
-
-    def scored(block: list) -> DataFrame:
-        ids, q = np.array([r[0] for r in block]), np.array([r[1] for r in block], float)
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        held = queries.select(key, data).collect()
+        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best_score, best_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
-            norm = np.linalg.norm(q, axis=1)
+            best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
             for batch in batches:
-                for part in range(0, len(batch), 4096):
+                for part in range(0, len(batch) if len(ids) else 0, 4096):
                     own = batch.iloc[part : part + 4096]
-                    x, who = np.stack(own[data].to_numpy()).astype(float), own[key].to_numpy()
-                    product = q @ x.T
-                    if metric == "cosine":
-                        score = product / np.maximum(np.outer(norm, np.linalg.norm(x, axis=1)), 1e-300)
-                    elif metric == "l2":
-                        score = 1 / (1 + np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * product, 0))
-                    else:
-                        score = product
-                    score[ids[:, None] == who] = -np.inf
-                    every, names = np.hstack([best_score, score]), np.hstack([best_id, np.broadcast_to(who, score.shape)])
-                    order = np.lexsort((names, -every), axis=1)[:, :k]
-                    best_score, best_id = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
-            ok = np.isfinite(best_score)
-            yield pd.DataFrame({"query_id": np.repeat(ids, ok.sum(1)), key: best_id[ok], "score": best_score[ok]})
-
-        return corpus.select(key, data).mapInPandas(run, schema)
-
-    for row in queries.select(key, data).toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            out, held = (scored(held) if out is None else out.union(scored(held))), []
-    if held or out is None:
-        out = scored(held) if out is None else out.union(scored(held))
+                    best = _nearest_of(ids, q, k, metric, best, own[key].to_numpy(), np.stack(own[data].to_numpy()).astype(float))
+            yield _rows_of(ids, best, key)
+
+        out = corpus.select(key, data).mapInPandas(run, schema)
+    else:
+        blocks, groups = -(-n // QUERY_BLOCK), max(1, -(-corpus.count() // GROUP_ROWS))
+        asked = queries.select(key, data, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+        rows = corpus.select(key, data, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(groups)).cast("int").alias("_g"))
+        asked = asked.withColumn("_b", F.col("_b").cast("int"))
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            own = left[key].to_numpy()
+            best = np.full((len(own), k), -np.inf), np.full((len(own), k), -1, np.int64)
+            if len(left) and len(right):
+                x = np.stack(left[data].to_numpy()).astype(float)
+                for part in range(0, len(right), 4096):
+                    some = right.iloc[part : part + 4096]
+                    best = _nearest_of(own, x, k, metric, best, some[key].to_numpy(), np.stack(some[data].to_numpy()).astype(float))
+            return _rows_of(own, best, key)
+
+        out = asked.groupBy("_b", "_g").cogroup(rows.groupBy("_b", "_g")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
