@@ -10,7 +10,8 @@ from tensorloom import catalogue
 
 HEADLINE = """flagship desc_norms desc_stats norm_range ew_add ew_log matmul_8x8 gram_einsum reduce_dim0 cov_pairs conv1d_valid sparse_matmul sim_cosine knn_filtered
 knn_join_top3 hybrid_rank fulltext_score facet_counts nql_meta_range plan_index_lookup co_tags stale lineage_ancestors op_stats changes_latest replica_apply
-int8_quant chunk_rebuild svd_values tucker_recon matrix_descriptor ext_tumbling ext_session""".split()
+int8_quant chunk_rebuild svd_values tucker_recon matrix_descriptor ext_tumbling ext_session idx_range query_builder batch_commit op_by_name ivf_probe shard_search
+posting_search""".split()
 
 
 def main() -> None:

@@ -119,6 +119,26 @@ def inflated(code) -> Column:
     return run(_c(code))
 
 
+def float32_bytes(data) -> Column:
+    """The elements as little-endian floats of four bytes."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(_c(data))
+
+
+def from_float32_bytes(raw) -> Column:
+    """The elements again; bytes that are no whole number of floats are null."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or len(v) % 4 else np.frombuffer(v, "<f4").astype(float))
+
+    return run(_c(raw))
+
+
 # chunks
 
 

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.operators import search
+
 BUCKET = "_bucket"
 
 
@@ -90,6 +92,34 @@ class Index:
         out.insert(self.rows())
         return out
 
+    def backup(self, folder: str, name: str) -> None:
+        """The live entries under a name; ``restored`` reads them, ``prune`` deletes old ones."""
+        self.rows().write.parquet(f"{folder.rstrip('/')}/{name}")
+
+    def restored(self, folder: str, name: str, to: str) -> Index:
+        """A new index in the folder ``to`` with the entries of a backup."""
+        out = type(self).__new__(type(self))
+        out.__dict__.update(self.__dict__ | {"folder": to.rstrip("/"), "batches": 0, "lookups": 0})
+        out.insert(self.spark.read.parquet(f"{folder.rstrip('/')}/{name}"))
+        return out
+
+
+def prune(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Deletes all backups of a folder but the last ``keep`` by name; returns the names that are left."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    for name in names[: max(0, len(names) - keep)]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}"), True)
+    return names[max(0, len(names) - keep) :]
+
+
+def maintained(index: Index, folder: str, tombstones: int = 10_000) -> Index:
+    """The index, written anew in the folder if more than so many tombstones slow it down."""
+    if not index._exists("gone") or index.spark.read.parquet(f"{index.folder}/gone").count() <= tombstones:
+        return index
+    return index.compacted(folder)
+
 
 class HashIndex(Index):
     """Equality on one or several columns; the first ones given decide the bucket folder."""
@@ -215,6 +245,30 @@ class SpatialIndex(Index):
         return out
 
 
+class PostingIndex(Index):
+    """Tokens of texts, sorted by token; a document that comes again replaces its earlier version."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", key_type: str = "bigint"):
+        super().__init__(spark, folder, key, {"token": "string", "n": "bigint"}, key_type)
+
+    def insert(self, entries: DataFrame, text: str = "text") -> None:
+        if text not in entries.columns:  # postings already
+            return super().insert(entries)
+        if self._exists("rows"):
+            self.remove(entries.select(self.key))
+        super().insert(search.postings(entries, text, self.key))
+
+    def laid_out(self, entries: DataFrame) -> tuple[DataFrame, list[str]]:
+        return entries.repartitionByRange("token", self.key).sortWithinPartitions("token", self.key), []
+
+    def where(self, rows: DataFrame, query: str = "") -> DataFrame:
+        return rows.where(F.col("token").isin(search.query_tokens(query)))
+
+    def scores(self, query: str) -> DataFrame:
+        """(key, score) as ``search.full_text`` has them."""
+        return search.posting_search(self.search(query=query), query, self.key)
+
+
 class QueryBuilder:
     """Conditions on several indexes: the keys that all of them find, or any of them.
 

@@ -356,7 +356,10 @@ def contraction_similarity(a: np.ndarray, b: np.ndarray, rank: int = 4) -> float
     """exp of minus 0.6 times the mean subspace distance and 0.4 times the core distance; 0 for different shapes."""
     if a.shape != b.shape:
         return 0.0
-    x, y = sketch(a, rank), sketch(b, rank)
+    return sketch_similarity(sketch(a, rank), sketch(b, rank))
+
+
+def sketch_similarity(x: tuple[np.ndarray, list[np.ndarray]], y: tuple[np.ndarray, list[np.ndarray]]) -> float:
     if any(p.shape != q.shape for p, q in zip(x[1], y[1])):
         return 0.0
     angle = float(np.mean([grassmannian(p, q) for p, q in zip(x[1], y[1])]))

@@ -116,26 +116,6 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-class IVF:
-    """Inverted lists by k-means: centroids on the driver (their number is the bound), rows tagged with their list."""
-
-    def __init__(self, vectors: DataFrame, lists: int = 16, seed: int = 42, key: str = "vec_id", data: str = "data"):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        ready = vectors.withColumn("_v", array_to_vector(F.col(data).cast("array<double>")))
-        model = KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="cluster").fit(ready)
-        self.centroids = np.array(model.clusterCenters())
-        self.rows = model.transform(ready).drop("_v")
-        self.key, self.data = key, data
-
-    def search(self, query: list[float], k: int = 10, metric: str = "cosine", probes: int = 4) -> DataFrame:
-        """The nearest of the rows in the lists whose centroids are closest; all lists if there are few."""
-        order = np.argsort(((self.centroids - np.asarray(query)) ** 2).sum(1))
-        near = order if len(order) <= probes else order[:probes]
-        return nearest(self.rows.where(F.col("cluster").isin([int(c) for c in near])), query, k, metric, tie=self.key, data=self.data)
-
-
 # contraction similarity
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,17 @@ def forecast(series: DataFrame, key: str, order: str, value: str, p: int = 5, d:
     return series.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {series.schema[key].dataType.simpleString()}, step int, value double")
 
 
+def store_predictions(store, forecasts: DataFrame, dataset: str, source: str, model: str, key: str, **parameters) -> None:
+    """Writes each series' forecast (key, step, value) as one tensor, with its provenance as metadata."""
+    step = F.struct("step", "value")
+    rows = forecasts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["value"]).alias("data"))
+    about = F.to_json(F.struct(F.lit(source).alias("source"), F.col(key).cast("string").alias("series"), F.lit(model).alias("model"), F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), F.size("data").alias("steps")))
+    if not store.exists(dataset):
+        store.create(dataset)
+    name = F.concat(F.lit(f"{source}:{model}:"), F.col(key).cast("string"))
+    store.insert(dataset, rows.select(name.alias("tensor_id"), F.array(F.size("data").cast("bigint")).alias("shape"), "data", about.alias("metadata")))
+
+
 def random_search(spark: SparkSession, trials: int, objective, space: dict[str, tuple[float, float]], seed: int = 0, maximize: bool = False) -> DataFrame:
     """(trial, parameters..., score), the best first: uniform draws, scored in parallel."""
     names = list(space)

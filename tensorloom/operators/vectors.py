@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions import dense as D
-from tensorloom.operators import prefix, search
+from tensorloom.operators import linalg, prefix, search
 
 #: Rows of a shard and of a group of the graph, neighbours of a node, candidates of its building and searching, and slack of its pruning.
 SHARD_ROWS, GROUP_ROWS = 100_000, 4_000
@@ -252,6 +252,55 @@ class Graph:
         return out
 
 
+# sketches of tensors
+
+
+def _unpacked(flat: np.ndarray, shape: list[int], rank: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Core and factors of a stored sketch."""
+    ranks = [max(1, min(rank, d, int(np.prod(shape)) // d)) for d in shape]
+    sizes = [int(np.prod(ranks)), *[d * r for d, r in zip(shape, ranks)]]
+    pieces = np.split(flat, np.cumsum(sizes)[:-1])
+    return pieces[0].reshape(ranks), [p.reshape(d, r) for p, d, r in zip(pieces[1:], shape, ranks)]
+
+
+class Sketches:
+    """Stored sketches (core and leading singular vectors of each mode) of tensors of one shape, which the first insert locks."""
+
+    def __init__(self, spark: SparkSession, folder: str, rank: int = 4, key: str = "tensor_id", kind: str = "bigint"):
+        self.spark, self.folder, self.rank, self.key, self.kind = spark, folder.rstrip("/"), rank, key, kind
+        self.shape: list[int] | None = None
+
+    def insert(self, tensors: DataFrame, shape: list[int]) -> None:
+        """Adds (key, data) rows of the shape; another shape than the first one is an error."""
+        if self.shape is not None and self.shape != shape:
+            raise ValueError(f"the index holds tensors of shape {self.shape}, not {shape}")
+        self.shape = shape
+        rank = self.rank
+
+        def kernel(a: np.ndarray) -> np.ndarray:
+            core, factors = linalg.sketch(a, rank)
+            return np.concatenate([core.ravel(), *[f.ravel() for f in factors]])
+
+        size = 1
+        for d in shape:
+            size *= d
+        fit = tensors.where(F.size("data") == size)
+        fit.select(self.key, linalg.array_udf(kernel, "data", shapes=[shape]).alias("sketch")).write.mode("append").parquet(f"{self.folder}/sketches")
+
+    def search(self, query: np.ndarray, k: int = 10) -> DataFrame:
+        """(key, score, rank) of the most similar tensors, from their sketches alone."""
+        if self.shape is None or list(np.shape(query)) != self.shape:
+            raise ValueError(f"the index holds tensors of shape {self.shape}")
+        own, shape, rank = linalg.sketch(np.asarray(query, float), self.rank), self.shape, self.rank
+
+        @F.pandas_udf("double")
+        def score(column: pd.Series) -> pd.Series:
+            return column.map(lambda v: linalg.sketch_similarity(_unpacked(np.asarray(v), shape, rank), own))
+
+        rows = self.spark.read.parquet(f"{self.folder}/sketches").withColumn("score", score("sketch"))
+        return search.ranked(rows.select(self.key, "score"), k, tie=self.key)
+
+
 # statistics
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tensorloom import model, sdk
 from tensorloom.functions import codecs, descriptor
 from tensorloom.functions import dense as D
-from tensorloom.operators import catalog, indexes, lineage, linalg, search
-from tensorloom.plans import plan
+from tensorloom.operators import catalog, indexes, lineage, linalg, search, series, vectors
+from tensorloom.plans import plan, tenancy
+from tensorloom.queries import tables
 from tensorloom.queries import tensors as base
 from tensorloom.sources import store as S
 from tensorloom.streaming import feeds
@@ -304,3 +305,75 @@ def frame_arithmetic(spark, sf):
     p = base.pairs(spark, sf).withColumn("shape", F.array(F.lit(64).cast("bigint")))
     a, b = sdk.TensorFrame(p.withColumn("data", F.col("a")), "vec_id"), sdk.TensorFrame(p.withColumn("data", F.col("b")), "vec_id")
     return base.cells((((a + b) * 2 - a) / 4 + a**2).rows)
+
+
+# more of indexes, streams, series and tenants
+
+
+@query(f"WITH {base.CELLS} SELECT vec_id, CAST(64 AS INTEGER) AS n, round(sqrt(sum(v * v)), 6) AS norm FROM c GROUP BY vec_id")
+def descriptor_from_bytes(spark, sf):
+    v = model.vectors(spark, sf).select("vec_id", codecs.float32_bytes("data").alias("raw"))
+    v = v.select("vec_id", codecs.from_float32_bytes("raw").alias("data"))
+    return v.select("vec_id", F.size("data").alias("n"), F.round(D.frobenius_norm("data"), 6).alias("norm"))
+
+
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('The ', lang) ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0), t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x = 'the')) AS n FROM d) SELECT doc_id, round(CAST(1 + 0.01 * n AS DOUBLE), 4) AS score FROM t WHERE n > 0")
+def posting_index(spark, sf):
+    """Every fourth document comes again with another text, then every ninth goes."""
+    docs = model.read(spark, sf, "documents").select("doc_id", "text", "lang")
+    index = indexes.PostingIndex(spark, indexes.folder_for(spark, "words"))
+    index.insert(docs)
+    index.insert(docs.where("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("The "), F.col("lang"))))
+    index.remove(docs.where("doc_id % 9 = 0"))
+    return index.scores("The").withColumn("score", F.round("score", 4))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 920 AND 940 AND p_partkey % 5 <> 0")
+def idx_backup(spark, sf):
+    """Two backups, of which the last is kept and restored."""
+    index = indexes.RangeIndex(spark, indexes.folder_for(spark, "range"), "p_partkey", "p_retailprice")
+    rows = model.read(spark, sf, "part")
+    folder = indexes.folder_for(spark, "backups")
+    index.insert(rows)
+    index.backup(folder, "one")
+    index.remove(rows.where("p_partkey % 5 = 0").select("p_partkey"))
+    index.backup(folder, "two")
+    (last,) = indexes.prune(spark, folder, 1)
+    return index.restored(folder, last, indexes.folder_for(spark, "range")).range(920.0, 940.0)
+
+
+@query("SELECT label, CAST(count(*) AS BIGINT) AS n FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY label")
+def compaction(spark, sf):
+    """A delta that is full enough is merged, and what is deleted goes."""
+    v = model.read(spark, sf, "embeddings").select("vec_id", "label")
+    after, delta, _ = feeds.compacted(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), v.where("vec_id % 7 = 0"), capacity=20)
+    return after.unionByName(delta).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(tables.ORACLES["ts_ar1_forecast"])
+def store_predictions(spark, sf):
+    """Forecasts written as tensors with their provenance, and read again."""
+    store = S.Store(spark, indexes.folder_for(spark, "store"))
+    daily = model.read(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("y"))
+    series.store_predictions(store, series.forecast(daily, "event_type", "day", "y", 1, 0, 5), "forecasts", "events", "ar", "event_type", p=1, d=0)
+    rows = store.read("forecasts").select(F.get_json_object("metadata", "$.series").alias("event_type"), F.posexplode("data").alias("step", "value"))
+    return rows.select("event_type", (F.col("step") + 1).alias("step"), F.round("value", 3).alias("value"))
+
+
+@query("SELECT CASE WHEN c_custkey % 4 = 0 THEN 'admin' ELSE 'viewer' END AS role, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE c_custkey % 4 = 0) AS BIGINT) AS editors FROM customer WHERE c_custkey % 3 <> 0 GROUP BY role")
+def tenant_keys(spark, sf):
+    """Requests with the key of each customer; every third key isn't known."""
+    c = model.read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("key-"), F.col("c_custkey").cast("string")).alias("api_key"))
+    known = c.where("c_custkey % 3 <> 0").select(F.sha2("api_key", 256).alias("key_hash"), F.lit("t").alias("tenant"), F.when(F.col("c_custkey") % 4 == 0, "admin").otherwise("viewer").alias("role"))
+    return tenancy.resolved(c, known).groupBy("role").agg(F.count("*").alias("n"), F.count_if(tenancy.may("role", "editor")).alias("editors"))
+
+
+@query("SELECT CASE WHEN vec_id = 0 THEN 1 ELSE 0 END AS itself, CAST(1 AS INTEGER) AS rank FROM embeddings WHERE vec_id = 0")
+def sketch_search(spark, sf):
+    """The tensor whose sketch is most like the first one's: itself."""
+    index = vectors.Sketches(spark, indexes.folder_for(spark, "sketches"), 3, "vec_id")
+    v = model.vectors(spark, sf)
+    index.insert(v.where("vec_id % 2 = 0"), [4, 4, 4])
+    index.insert(v.where("vec_id % 2 = 1"), [4, 4, 4])
+    query_ = np.array(v.where("vec_id = 0").first().data).reshape(4, 4, 4)
+    return index.search(query_, 1).select((F.col("vec_id") == 0).cast("int").alias("itself"), "rank")

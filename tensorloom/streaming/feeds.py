@@ -76,6 +76,13 @@ def needs_compaction(delta_rows: int, capacity: int = 10_000, share: float = 0.8
     return delta_rows >= share * capacity
 
 
+def compacted(base: DataFrame, delta: DataFrame, deleted: DataFrame, capacity: int = 10_000, share: float = 0.8, key: str = "vec_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, delta, deleted) after a merge, if the delta is full enough for one; else as they are."""
+    if not needs_compaction(delta.count(), capacity, share):
+        return base, delta, deleted
+    return merged(base, delta, deleted, key), delta.limit(0), deleted.limit(0)
+
+
 def latency_histogram(rows: DataFrame, column: str) -> DataFrame:
     """Cumulative counts per bound, with sum and count, in one pass."""
     x = F.col(column)

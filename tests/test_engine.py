@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tensorloom import model
 from tensorloom.functions import codecs, descriptor
 from tensorloom.functions import dense as D
-from tensorloom.operators import catalog, elements, lineage, search, series
+from tensorloom.operators import catalog, elements, lineage, search, series, vectors
 from tensorloom.sources import store
 from tensorloom.streaming import feeds
 
@@ -120,7 +120,7 @@ def test_ivf_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((8, 16))[rng.integers(0, 8, 800)] + 0.2 * rng.standard_normal((800, 16))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, data array<double>")
-    index, hit = search.IVF(v, 8), 0
+    index, hit = vectors.Partitions(v, lists=8), 0
     for q in (1, 50, 700):
         exact = {r.vec_id for r in search.nearest(v, x[q].tolist(), 10, "l2").collect()}
         hit += len(exact & {r.vec_id for r in index.search(x[q].tolist(), 10, "l2", 3).collect()})

@@ -61,6 +61,19 @@ def test_registered_graph_recall(spark, sf):
     assert hits >= 0.9 * 10 * len(found) and set(found) == {int(i) for i in ids if i % 20 == 0}
 
 
+def test_registered_lists_recall(spark, sf):
+    from tensorloom.queries import search as searching
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    v = model.vectors(spark, sf)
+    want, got = {}, {}
+    for r in search.knn_join(v.where("vec_id % 20 = 0"), v, 10).collect():
+        want.setdefault(r.query_id, set()).add(r.vec_id)
+    for r in searching.ivf_search(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 10 * len(want)
+
+
 def test_partitions_recall_and_folders(spark, tmp_path):
     x = clustered(800)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [1.0])], "vec_id bigint, data array<double>")
