@@ -109,6 +109,10 @@ def _kernel(function: Callable[..., np.ndarray]) -> Callable[..., tuple[Column,
 
 _operator("matmul", 2, "matrix product")(_kernel(lambda a, b: a @ b))
 _operator("transpose", 1, "dimensions in another order, reversed without one", "dims")(_kernel(lambda a, dims=None: np.transpose(a, dims)))
+_operator("permute", 1, "dimensions in the given order", "dims")(_kernel(lambda a, dims: np.transpose(a, dims)))
+_operator("concatenate", 2, "joined along a dimension, the first without one", "dim")(_kernel(lambda a, b, dim=0: np.concatenate([a, b], dim)))
+_operator("stack", 2, "joined along a new dimension, the first without one", "dim")(_kernel(lambda a, b, dim=0: np.stack([a, b], dim)))
+_operator("einsum", 2, "a contraction of two tensors by an equation", "equation")(_kernel(lambda a, b, equation: np.einsum(equation, a, b)))
 _operator("svd", 1, "singular values of a matrix")(_kernel(lambda a: np.linalg.svd(a, compute_uv=False)))
 _operator("inverse", 1, "inverse of a square matrix")(_kernel(np.linalg.inv))
 _operator("determinant", 1, "determinant of a square matrix")(_kernel(np.linalg.det))

@@ -11,7 +11,9 @@ for = and != only and fails for ranges; a quoted string against another kind of
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -144,6 +146,39 @@ def tree(parsed: dict, metadata: str = "metadata", data: str = "data") -> Column
     return out
 
 
+def run_tree(tensors: DataFrame, parsed: dict) -> DataFrame:
+    """A parsed query {dataset, filters} over a table of tensors: what a language model, or a form, hands in."""
+    if not isinstance(parsed.get("dataset"), str) or not isinstance(parsed.get("filters", []), list):
+        raise QueryError("a parsed query has a dataset and a list of filters")
+    for clause in parsed.get("filters", []):
+        if not isinstance(clause, dict) or not all(isinstance(c, dict) and {"key", "operator", "value"} <= set(c) for c in clause.get("conditions", [None])):
+            raise QueryError("a filter has conditions with key, operator and value")
+    own = tensors.where(F.col("dataset") == parsed["dataset"])
+    if own.limit(1).isEmpty():
+        raise QueryError(f"no dataset {parsed['dataset']}")
+    return own.where(tree(parsed))
+
+
+def understood(tensors: DataFrame, text: str, complete: Callable[[str], str] | None = None, schema: dict | None = None) -> DataFrame:
+    """A query in words: by the grammar, else by a language model that answers with a parsed query as JSON.
+
+    complete: from a prompt to a text. An answer that is no parsed query is a ``QueryError``.
+    """
+    try:
+        return run(tensors, text)
+    except QueryError:
+        if complete is None:
+            raise
+    prompt = "Answer with JSON only: {\"dataset\": name, \"filters\": [{\"joiner\": \"AND\" or \"OR\", \"conditions\": [{\"key\", \"operator\", \"value\"}]}]}.\n"
+    prompt += f"Datasets and their fields: {json.dumps(schema or {}, sort_keys=True)}\nQuestion: {text}"
+    answer = complete(prompt)
+    try:
+        parsed = json.loads(answer[answer.index("{") : answer.rindex("}") + 1])
+    except ValueError:
+        raise QueryError(f"no parsed query: {answer[:200]}") from None
+    return run_tree(tensors, parsed)
+
+
 def path_equals(metadata: str, filters: dict) -> Column:
     """AND of equalities with metadata entries; in a list entry any element may match; a missing entry doesn't match."""
     out = F.lit(True)

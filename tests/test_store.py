@@ -167,6 +167,7 @@ def test_operators_by_name(spark):
     assert run("add", value=1.0) == ([2.0, 3.0, 4.0, 5.0], [2, 2]) and run("divide", True)[0][0] == 0.5
     assert run("determinant")[0][0] == pytest.approx(-2) and run("sum") == ([10.0], []) and run("sum_dim", dim=0) == ([4.0, 6.0], [2])
     assert run("reshape", shape=[4]) == ([1.0, 2.0, 3.0, 4.0], [4]) and run("outer", True)[1] == [2, 2, 2, 2] and run("flatten")[1] == [4]
+    assert run("concatenate", True)[1] == [4, 2] and run("stack", True, dim=2)[1] == [2, 2, 2] and run("einsum", True, equation="ij,jk->ik")[0] == [2.0, 4.0, 6.0, 8.0] and run("permute", dims=[1, 0])[0] == [1.0, 3.0, 2.0, 4.0]
     assert run("sum_dim", dim=5) == (None, None)  # a kernel that fails gives nothing
     for bad in (lambda: run("matmul"), lambda: run("sum", True), lambda: run("sum", axis=1), lambda: run("what")):
         with pytest.raises(named.OperationError):
