@@ -154,10 +154,10 @@ _back("chunks_back", lambda v: codecs.rebuilt(codecs.chunk_map(codecs.chunked(v,
 _back("arrow_back", lambda v: sdk.TensorFrame.from_arrow(v.sparkSession, sdk.TensorFrame(v.withColumn("shape", F.array(F.lit(64).cast("bigint"))), "vec_id").to_arrow(), "vec_id").rows)
 
 
-@query(f"WITH {base.PAIRS} SELECT vec_id, CAST(i AS BIGINT) - 1 AS pos, round(100 * a[(i - 1) // 8 + 1] * a[(i - 1) % 8 + 1], 6) + 0 AS value FROM (SELECT vec_id, a FROM e), (SELECT unnest(range(1, 65)) AS i) u")
+@query(f"WITH {base.GRID}, x AS (SELECT vec_id, i, sum(v) AS x FROM g GROUP BY ALL), y AS (SELECT vec_id, j, sum(v) AS y FROM g GROUP BY ALL) SELECT vec_id, i * 8 + j AS pos, round(x * y, 6) + 0 AS value FROM x JOIN y USING (vec_id)")
 def lowrank_back(spark, sf):
-    """The truncated SVD of a matrix of rank one keeps all of it."""
-    outer = linalg.array_udf(lambda a: 100 * np.outer(a[:8], a[:8]), "data", shapes=[[64]])
+    """The truncated SVD of a matrix of rank one, the product of row and column sums, keeps all of it."""
+    outer = linalg.array_udf(lambda a: np.outer(a.sum(1), a.sum(0)), "data", shapes=[[8, 8]])
     return base.cells(model.vectors(spark, sf).select("vec_id", outer.alias("data")).select("vec_id", codecs.low_rank("data", 8, 8).alias("data")))
 
 
@@ -184,17 +184,21 @@ def mode_product_1(spark, sf):
     return base.cells(model.vectors(spark, sf).select("vec_id", out.alias("data")))
 
 
-_ABS = "(abs(e[pos // 16 * 16 + 1]) * abs(e[pos // 4 % 4 * 4 + 1]) * abs(e[pos % 4 + 1]))"
+def _positive(a: np.ndarray) -> np.ndarray:
+    """The outer product of the absolute sums over all but one dimension."""
+    return np.einsum("i,j,k->ijk", *(np.abs(a.sum(d)) for d in ((1, 2), (0, 2), (0, 1))))
+
+
 for _name, _kernel in {
-    "nn_cp_rank_one": lambda a: 1000 * linalg.from_cp(linalg.cp(np.einsum("i,j,k->ijk", *(np.abs(x) for x in (a[:, 0, 0], a[0, :, 0], a[0, 0, :]))), 1, 400, nonnegative=True)),
-    "nn_tucker_rank_one": lambda a: 1000 * linalg.from_tucker(*linalg.tucker(np.einsum("i,j,k->ijk", *(np.abs(x) for x in (a[:, 0, 0], a[0, :, 0], a[0, 0, :]))), [1, 1, 1], 3, nonnegative=True)),
+    "nn_cp_rank_one": lambda a: linalg.from_cp(linalg.cp(_positive(a), 1, 400, nonnegative=True)),
+    "nn_tucker_rank_one": lambda a: linalg.from_tucker(*linalg.tucker(_positive(a), [1, 1, 1], 3, nonnegative=True)),
 }.items():
 
     def _run(spark, sf, kernel=_kernel):
         return base.cells(model.vectors(spark, sf).select("vec_id", linalg.array_udf(kernel, "data", shapes=[[4, 4, 4]]).alias("data")), digits=4)
 
     _run.__name__ = _name
-    query(f"WITH {base.CELLS}, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, pos, round(1000 * {_ABS}, 4) AS value FROM c JOIN e USING (vec_id)")(_run)
+    query(f"WITH {base.CELLS}, {tables._MARGINS} SELECT vec_id, i * 16 + j * 4 + k AS pos, round(abs(x) * abs(y) * abs(z), 4) AS value FROM x JOIN y USING (vec_id) JOIN z USING (vec_id)")(_run)
 
 
 # properties of matrices: diagonal ones, whose facts are plain

@@ -357,12 +357,12 @@ def _partial(a):
     return linalg.from_partial_tucker(core, factors) + _orthonormal(factors)
 
 
-def _rank_one(shape):
-    """The outer product of three slices of the tensor: of rank one in every sense."""
-    return lambda a: np.einsum("i,j,k->ijk", a[:4, 0, 0], a[0, :4, 0], a[0, 0, :4]).reshape(shape)
+def _rank_one(a):
+    """The outer product of the tensor's sums over all but one dimension: of rank one in every sense."""
+    return np.einsum("i,j,k->ijk", a.sum((1, 2)), a.sum((0, 2)), a.sum((0, 1)))
 
 
-_ONE = "(e[pos // 16 * 16 + 1] * e[pos // 4 % 4 * 4 + 1] * e[pos % 4 + 1])"
+_MARGINS = "x AS (SELECT vec_id, pos // 16 AS i, sum(v) AS x FROM c GROUP BY ALL), y AS (SELECT vec_id, pos // 4 % 4 AS j, sum(v) AS y FROM c GROUP BY ALL), z AS (SELECT vec_id, pos % 4 AS k, sum(v) AS z FROM c GROUP BY ALL)"
 
 for _name, (_run, _sql) in {
     "lu_recon": _again(_lu), "qr_recon": _again(_qr), "tsvd_recon": _again(_t_svd), "tucker_recon": _again(_tucker), "partial_tucker_recon": _again(_partial), "hosvd_recon": _again(_hosvd),
@@ -370,23 +370,32 @@ for _name, (_run, _sql) in {
     "ht_recon": _again(lambda a: linalg.from_hierarchical(linalg.hierarchical_tucker(a, 16), a.shape)),
     "inverse_recon": _again(_inverse, "CASE WHEN pos // 8 = pos % 8 THEN 2.0 ELSE 0.0 END"),
     "cholesky_recon": _again(_cholesky, "list_sum(list_transform(range(1, 9), lambda k: e[pos // 8 * 8 + k] * e[pos % 8 * 8 + k])) + CASE WHEN pos // 8 = pos % 8 THEN 1 ELSE 0 END"),
-    # truncated ranks: what has rank one comes back whole from factors of rank one
-    "cp_rank_one": _again(lambda a: 1000 * linalg.from_cp(linalg.cp(_rank_one((4, 4, 4))(a), 1)), f"1000 * {_ONE}"),
-    "tucker_rank_one": _again(lambda a: 1000 * linalg.from_tucker(*linalg.tucker(_rank_one((4, 4, 4))(a), [1, 1, 1], 2)), f"1000 * {_ONE}"),
-    "tt_rank_one": _again(lambda a: 1000 * linalg.from_train(linalg.tensor_train(_rank_one((4, 4, 4))(a), 1)), f"1000 * {_ONE}"),
-    "ht_rank_one": _again(lambda a: 1000 * linalg.from_hierarchical(linalg.hierarchical_tucker(_rank_one((4, 4, 4))(a), 1), a.shape), f"1000 * {_ONE}"),
-    "block_terms_rank_one": _again(lambda a: 1000 * sum(linalg.from_tucker(*t) for t in linalg.block_terms(_rank_one((4, 4, 4))(a), [(1, 1, 1)])), f"1000 * {_ONE}"),
 }.items():
     _run.__name__ = _name
     # adding 0 turns a negative zero into a positive one
     query(f"WITH {base.CELLS}, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, pos, round({_sql}, 6) + 0 AS value FROM c JOIN e USING (vec_id)")(_run)
 
 
-@query(f"WITH {base.GRID}, m AS (SELECT x.vec_id, x.j AS i, y.j, sum(x.v * y.v) AS w FROM g x JOIN g y ON x.vec_id = y.vec_id AND x.i = y.i AND x.j < 2 AND y.j < 2 GROUP BY ALL), p AS (SELECT vec_id, sum(w) FILTER (WHERE i = 0 AND j = 0) AS a, sum(w) FILTER (WHERE i = 0 AND j = 1) AS b, sum(w) FILTER (WHERE i = 1 AND j = 1) AS d FROM m GROUP BY vec_id) SELECT vec_id, round(sqrt((a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2), 6) AS s1, round(sqrt(greatest(0, (a + d - sqrt((a - d) * (a - d) + 4 * b * b)) / 2)), 6) AS s2 FROM p")
+# truncated ranks: what has rank one comes back whole from factors of rank one
+for _name, _kernel in {
+    "cp_rank_one": lambda a: linalg.from_cp(linalg.cp(_rank_one(a), 1)),
+    "tucker_rank_one": lambda a: linalg.from_tucker(*linalg.tucker(_rank_one(a), [1, 1, 1], 2)),
+    "tt_rank_one": lambda a: linalg.from_train(linalg.tensor_train(_rank_one(a), 1)),
+    "ht_rank_one": lambda a: linalg.from_hierarchical(linalg.hierarchical_tucker(_rank_one(a), 1), a.shape),
+    "block_terms_rank_one": lambda a: sum(linalg.from_tucker(*t) for t in linalg.block_terms(_rank_one(a), [(1, 1, 1)])),
+}.items():
+    _run, _ = _again(_kernel)
+    _run.__name__ = _name
+    query(f"WITH {base.CELLS}, {_MARGINS} SELECT vec_id, i * 16 + j * 4 + k AS pos, round(x * y * z, 6) + 0 AS value FROM x JOIN y USING (vec_id) JOIN z USING (vec_id)")(_run)
+
+
+@query(f"WITH {base.GRID}, m AS (SELECT x.vec_id, x.j // 2 AS block, x.j % 2 AS i, y.j % 2 AS j, sum(x.v * y.v) AS w FROM g x JOIN g y ON x.vec_id = y.vec_id AND x.i = y.i AND x.j // 2 = y.j // 2 GROUP BY ALL), p AS (SELECT vec_id, block, sum(w) FILTER (WHERE i = 0 AND j = 0) AS a, sum(w) FILTER (WHERE i = 0 AND j = 1) AS b, sum(w) FILTER (WHERE i = 1 AND j = 1) AS d FROM m GROUP BY ALL) SELECT vec_id, block, round(sqrt((a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2), 6) AS s1, round(sqrt(greatest(0, (a + d - sqrt((a - d) * (a - d) + 4 * b * b)) / 2)), 6) AS s2 FROM p")
 def svd_two_columns(spark, sf):
-    """The singular values of the first two of each matrix's eight columns, against the roots of their 2 x 2 Gram matrix."""
-    values = linalg.array_udf(lambda a: np.linalg.svd(a[:, :2], compute_uv=False), "data", shapes=[[8, 8]])
-    return model.vectors(spark, sf).select("vec_id", values.alias("s")).select("vec_id", F.round(F.get("s", F.lit(0)), 6).alias("s1"), F.round(F.get("s", F.lit(1)), 6).alias("s2"))
+    """The singular values of each two neighbouring columns of the matrices, against the roots of their 2 x 2 Gram matrices."""
+    values = linalg.array_udf(lambda a: np.concatenate([np.linalg.svd(a[:, k : k + 2], compute_uv=False) for k in range(0, 8, 2)]), "data", shapes=[[8, 8]])
+    rows = model.vectors(spark, sf).select("vec_id", F.posexplode(values).alias("pos", "s"))
+    block = F.floor(F.col("pos") / 2).cast("long").alias("block")
+    return rows.groupBy("vec_id", block).agg(F.round(F.max("s"), 6).alias("s1"), F.round(F.min("s"), 6).alias("s2"))
 
 
 @query(f"WITH {base.CELLS}, q AS (SELECT vec_id, pos % 2 AS r, sum(v * v) AS n FROM c GROUP BY ALL) SELECT vec_id, round(sqrt(max(n)), 6) AS spectral, round(sum(sqrt(n)), 6) AS nuclear, CAST(count(*) FILTER (WHERE n > 1e-20) AS INTEGER) AS rank FROM q GROUP BY vec_id")
