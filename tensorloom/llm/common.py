@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,30 +27,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one where it is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, as in tests, a local master gets a
+    folder of its own; on a cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + (own := tempfile.mkdtemp(prefix="tensorloom-"))
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables that ``stored`` wrote and nothing deleted yet, and how many rows each has.
+_tables: list[str] = []
+_rows: dict[str, int | None] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder as Parquet and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tensorloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _rows[path] = seen.get.get("n")
+    out._stored_at = path
+    return out
+
+
+def rows_in(df: DataFrame) -> int:
+    """The number of rows of a table, which ``stored`` has counted as it wrote it."""
+    n = _rows.get(getattr(df, "_stored_at", None))
+    return df.count() if n is None else n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/tensorloom/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = getattr(df, "_stored_at", None)
+    if path in _rows:
+        _delete(df.sparkSession, path)
+        _tables.remove(path)
+        del _rows[path]
+
+
+def mark() -> int:
+    """A place in the list of tables, for ``release``."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables written since a mark: results that still read them must be written or collected by then."""
+    for path in _tables[since:]:
+        _delete(spark, path)
+        del _rows[path]
+    del _tables[since:]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,4 +243,32 @@ MOST_IDS = 1_000_000
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key isn't among the ids, a written table with that one column."""
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, "left_anti")
+    return docs.join(F.broadcast(ids) if rows_in(ids) <= MOST_IDS else ids, key, "left_anti")
+
+
+#: Rows of one key that a task gets at least before they are dealt to several, and keys that may be so at most (some 32 bytes each).
+HOT, MOST_HOT = 256, 200_000
+
+
+def often(rows: int) -> int:
+    """Beyond how many rows on a key it counts as frequent: of so many rows at most ``MOST_HOT`` keys are."""
+    return max(HOT, rows // MOST_HOT)
+
+
+def frequent(df: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """The frequent keys of df, which has so many rows, and ``m``, how often each occurs; None if there can be none."""
+    return df.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > often(rows)) if rows > HOT else None
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, by: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key, without a task that gets all rows of a frequent key.
+
+    hot: the frequent keys of left (see ``frequent``); their rows of right are repeated, and left's are dealt
+    among them by the columns ``by``.
+    """
+    if hot is None:
+        return left.join(right, key, how)
+    parts = F.ceil(F.coalesce("m", F.lit(1)) / HOT).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*[by] if isinstance(by, str) else by), parts).cast("int")).drop("m")
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")

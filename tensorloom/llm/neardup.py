@@ -9,12 +9,17 @@
    pairs, larger ones in blocks of bounded size, so that no link is lost and no task sees a whole bucket.
 5. Components come from alternating large-star and small-star.
 
+Joins whose keys may be frequent (a band, a centre, a root, the digest of a text with many copies) go through
+``spread``, which deals the rows of a frequent key to several tasks.
+
 A pair at the threshold shares no band with probability (1 - 0.8**4)**24 = 3e-6; the signature check passes
 it unless fewer than 59 of 96 minima agree, 4.5 standard deviations below the mean.
 
 Defined results: words are runs of bytes other than ASCII white space, after lower-casing A-Z; a text of
 fewer words than a shingle is one shingle; null and wordless texts have no shingles and link with nothing;
-rows with a null id link with nothing and are kept; a repeated row gets its result once for each time it occurs.
+rows with a null id link with nothing and are kept; a repeated row gets its result once for each time it occurs;
+an id that occurs with several texts links what any of them links. Ids are whole numbers, or text that spells them;
+other ids raise.
 """
 
 from __future__ import annotations
@@ -27,16 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import LOWER, MOST_IDS, forget, mixed, pieces, span_hashes, stored, text_buffer, words_of
+from tensorloom.llm.common import LOWER, MOST_IDS, forget, frequent, mixed, often, pieces, rows_in, span_hashes, spread, stored, text_buffer, words_of
 
 ROWS, BANDS = 4, 24
 HASHES = ROWS * BANDS
 #: Least number of agreeing minima for a pair to be confirmed on full sets, at a threshold of 80 percent.
 AGREE = 59
 #: Buckets of up to so many documents are searched by pairs, larger ones in blocks of so many rows and bytes of sets.
-SMALL, BLOCK, BLOCK_BYTES = 64, 512, 16_000_000
-#: Rows of one key that a task gets at least before they are dealt to several, and keys that may be so at most (32 bytes each).
-HOT, MOST_HOT = 256, 200_000
+SMALL, BLOCK, BLOCK_BYTES = 64, 256, 16_000_000
 #: Up to so many edges (16 bytes each) a step of the components runs in one task, without a shuffle; beyond, it is distributed.
 ONE_TASK = 1 << 17
 
@@ -124,37 +127,13 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("c").filter(keep), pa.array(same).filter(keep)], names=["x", "c", "est"])
 
 
-def often(rows: int) -> int:
-    """Beyond how many rows on a key it counts as frequent: of so many rows at most ``MOST_HOT`` keys are."""
-    return max(HOT, rows // MOST_HOT)
-
-
-def frequent(df: DataFrame, key: str, rows: int) -> DataFrame | None:
-    """The frequent keys of df, which has so many rows, and ``m``, how often each occurs; None if there can be none."""
-    return df.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > often(rows)) if rows > HOT else None
-
-
-def spread(left: DataFrame, right: DataFrame, key: str, by: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """left joined with right, which has a row for each key, without a task that gets all rows of a frequent key.
-
-    hot: the frequent keys of left (see ``frequent``); their rows of right are repeated, and left's are dealt
-    among them by the columns ``by``.
-    """
-    if hot is None:
-        return left.join(right, key, how)
-    parts = F.ceil(F.coalesce("m", F.lit(1)) / HOT).cast("int")
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*[by] if isinstance(by, str) else by), parts).cast("int")).drop("m")
-    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
-    return dealt.join(repeated, [key, "_part"], how).drop("_part")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node that isn't the smallest of its component; edges: (u, v) of longs. Alternates large-star and small-star."""
 
     def written(pairs: DataFrame) -> tuple[DataFrame, dict]:
         seen = Observation()
-        out = stored(pairs.distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "star")
-        return out, seen.get
+        out = stored(pairs.distinct().observe(seen, F.bit_xor(F.xxhash64("u", "v")).alias("x")), "star")
+        return out, seen.get | {"n": rows_in(out)}
 
     now, state = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
     while state["n"]:
@@ -181,7 +160,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
         if state == before:
             break
-    return now.withColumnRenamed("v", "root")
+    out = now.withColumnRenamed("v", "root")
+    out._stored_at = now._stored_at
+    return out
 
 
 class _Search:
@@ -194,10 +175,10 @@ class _Search:
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of the documents with these ids."""
         ids = stored(ids.distinct(), "ids")
-        picked = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+        picked = F.broadcast(ids) if rows_in(ids) <= MOST_IDS else ids
         texts = self.docs.join(picked, "id", "left_semi")
         out = stored(texts.mapInArrow(_sets(self.width), "id long, set array<long>"), "sets")
-        if out.count() > ids.count():  # repeated rows
+        if rows_in(out) > rows_in(ids):  # repeated rows
             every, out = out, stored(out.distinct(), "sets")
             forget(every)
         forget(ids)
@@ -206,7 +187,7 @@ class _Search:
     def confirm(self, pairs: DataFrame) -> None:
         """Adds the links among the pairs (x, c), a written table, and brings the components up to date."""
         sets = self.sets(pairs.select(F.col("x").alias("id")).union(pairs.select("c")))
-        hot = frequent(pairs, "c", pairs.count())
+        hot = frequent(pairs, "c", rows_in(pairs))
         met = spread(pairs.select("x", "c"), sets.select(F.col("id").alias("c"), F.col("set").alias("s2")), "c", "x", hot)
         met = met.join(sets.select(F.col("id").alias("x"), F.col("set").alias("s1")), "x")
         both = F.size(F.array_intersect("s1", "s2"))
@@ -216,19 +197,24 @@ class _Search:
 
     def linked(self, edges: DataFrame) -> None:
         """Merges the components that the edges join; only their roots take part."""
+        if self.roots is None:
+            self.roots = components(edges)
+            return
         edges = stored(edges, "edges")
-        rows = edges.count()
+        rows = rows_in(edges)
+        if not rows:
+            forget(edges)
+            return
         ends = self.rooted(self.rooted(edges, "u", "ru", "v", frequent(edges, "u", rows)), "v", "rv", "u", frequent(edges, "v", rows))
         ends = stored(ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v").distinct(), "links")
         merged = components(ends)
         forget(edges)
         forget(ends)
-        old, self.roots = self.roots, merged
-        if old is not None:
-            moved = spread(old, merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "u", frequent(old, "root", old.count()), "left")
-            self.roots = stored(moved.select("u", F.coalesce("to", "root").alias("root")).union(merged), "roots")
-            forget(old)
-            forget(merged)
+        old = self.roots
+        moved = spread(old, merged.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "u", frequent(old, "root", rows_in(old)), "left")
+        self.roots = stored(moved.select("u", F.coalesce("to", "root").alias("root")).union(merged), "roots")
+        forget(old)
+        forget(merged)
 
     def rooted(self, df: DataFrame, name: str, root: str, by: str = "", hot: DataFrame | None = None) -> DataFrame:
         """Adds the root of the column's node; hot: frequent nodes of the column, whose rows ``by`` tells apart."""
@@ -241,16 +227,16 @@ class _Search:
         """Confirms all pairs (x, c, nx, nc) that may be links, except those inside a component by then."""
         near = stored(pairs.where(F.least("nx", "nc") * 100 >= self.percent * F.greatest("nx", "nc")).select("x", "c").distinct(), "near")
         signs = leaders.select("id", "sig")
-        met = spread(near, signs.toDF("c", "sc"), "c", "x", frequent(near, "c", near.count())).join(signs.toDF("x", "sx"), "x")
+        met = spread(near, signs.toDF("c", "sc"), "c", "x", frequent(near, "c", rows_in(near))).join(signs.toDF("x", "sx"), "x")
         likely = met.select("x", "c", "sx", "sc").mapInArrow(_agreeing, "x long, c long, est int")
         order = Window.partitionBy("x").orderBy(F.desc("est"), "c")
         ranked = stored(likely.withColumn("rank", F.row_number().over(order)), "pairs")
         forget(near)
-        hot, low = frequent(ranked, "c", ranked.count()), 0
+        hot, low = frequent(ranked, "c", rows_in(ranked)), 0
         for high in (*steps, None):
             part = ranked.where((F.col("rank") > low) & (F.col("rank") <= high if high else F.lit(True)))
             part = stored(self.rooted(self.rooted(part, "x", "rx"), "c", "rc", "x", hot).where("rx <> rc").select("x", "c"), "open")
-            if not part.isEmpty():
+            if rows_in(part):
                 self.confirm(part)
             forget(part)
             low = high
@@ -296,9 +282,9 @@ class _Search:
         dealt = signed.select("key", "id", "root", "sig", F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(F.concat(rest, apart))).alias("at")).select("key", "id", "root", "sig", "at.*")
         block = "key", "i", "j", "kind"
         alike = stored(dealt.groupBy(*block).applyInPandas(_alike, "key long, i int, j int, kind int, id long, root long, sig binary, side int"), "alike")
-        if not alike.isEmpty():
+        if rows_in(alike):
             sets = self.sets(alike.select("id"))
-            full = spread(alike, sets, "id", list(block), frequent(alike, "id", alike.count()))
+            full = spread(alike, sets, "id", list(block), frequent(alike, "id", rows_in(alike)))
             self.linked(full.groupBy(*block).applyInPandas(_across(self.percent), "u long, v long").distinct())
             forget(sets)
         forget(alike)
@@ -310,12 +296,18 @@ def _likely(group: pd.DataFrame) -> list[tuple[int, int, int]]:
     side, roots = group["side"].to_numpy(), group["root"].to_numpy()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     pairs = []
-    for i in left:
-        others = right if len(right) else left[left > i]
-        others = others[roots[others] != roots[i]]
-        same = (signs[others] == signs[i]).sum(1)
-        ok = same >= AGREE
-        pairs += zip((-same[ok]).tolist(), [int(i)] * int(ok.sum()), others[ok].tolist())
+    among = not len(right)
+    others = left if among else right
+    for k in range(0, len(left), 32):
+        own = left[k : k + 32]
+        ok = roots[own][:, None] != roots[others][None]
+        if among:
+            ok &= others[None] > own[:, None]
+        same = np.zeros(ok.shape, np.int32)
+        if ok.any():
+            same[:] = (signs[own][:, None] == signs[others][None]).sum(2)
+        i, j = np.nonzero(ok & (same >= AGREE))
+        pairs += zip((-same[i, j]).tolist(), own[i].tolist(), others[j].tolist())
     return pairs
 
 
@@ -364,7 +356,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     keyed = leaders.select("id", "n", F.explode("bands").alias("key"))
     centre = F.min_by(F.struct("id", "n"), F.xxhash64("id", "key"))
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("size"), centre.alias("centre")).where("size > 1"), "buckets")
-    near = stored(spread(keyed, buckets, "key", "id", buckets.where(F.col("size") > often(BANDS * leaders.count())).select("key", F.col("size").alias("m"))), "near")
+    near = stored(spread(keyed, buckets, "key", "id", buckets.where(F.col("size") > often(BANDS * rows_in(firsts))).select("key", F.col("size").alias("m"))), "near")
     forget(buckets)
     search.resolve(near.where("id <> centre.id").select(F.col("id").alias("x"), F.col("centre.id").alias("c"), F.col("n").alias("nx"), F.col("centre.n").alias("nc")), leaders, (1,))
 
@@ -372,11 +364,11 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     pairs = small.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(small.select("key", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc")), "key")
     search.resolve(pairs.where(f"x > c AND rx <> rc AND least(nx, nc) * 100 >= greatest(nx, nc) * {percent}").select("x", "c", "nx", "nc"), leaders, ())
     large = search.divided(near.where(F.col("size") > SMALL))
-    if not large.isEmpty():
+    if rows_in(large):
         search.across(large, leaders)
 
     # each set finds its component, then each row its set; rows of the most copied sets find it by broadcast
-    most = often(base.count())
+    most = often(rows_in(base))
     placed = stored(search.rooted(firsts.select("d1", "d2", "id", "copies"), "id", "component").drop("id"), "placed")
     hot = F.broadcast(placed.where(F.col("copies") > most).drop("copies"))
     rows = base.select("id", "n", "d1", "d2")

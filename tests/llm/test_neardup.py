@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tensorloom.llm import neardup
+from tensorloom.llm import common, neardup
 
 
 def brute(rows, width, percent):
@@ -64,8 +64,8 @@ def test_large_buckets_are_searched_in_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("hot, most", [(3, 200_000), (3, 4)])
 def test_frequent_keys_are_dealt_to_several_tasks(spark, monkeypatch, hot, most):
-    monkeypatch.setattr(neardup, "HOT", hot)
-    monkeypatch.setattr(neardup, "MOST_HOT", most)
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "MOST_HOT", most)
     monkeypatch.setattr(neardup, "ONE_TASK", 0)
     monkeypatch.setattr(neardup, "SMALL", 8)
     monkeypatch.setattr(neardup, "BLOCK", 16)
