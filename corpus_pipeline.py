@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tensorloom.llm import decontamination, neardup, packing, quality, toxicity
-from tensorloom.llm.common import rows_where, shared_folder, stored, table, without
+from tensorloom.llm.common import mark, release, rows_where, shared_folder, stored, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/tensorloom/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
+        before = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        release(spark, before)  # what the stage wrote on its way
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
