@@ -5,7 +5,8 @@ plain strips or tiles, undoes the horizontal predictor and gives one page after
 to a column and emits one row per page. ``packed`` stores byte payloads as such files.
 
 Defined results: a null or empty file has no pages; a damaged one gives a single row with its error and no
-samples; equal payloads give equal files; a null text is an empty payload.
+samples, and ``described`` an error for it; equal payloads give equal files; a null text is an empty payload; repeated
+rows are rows of their own, an empty table gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +33,12 @@ _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
 
 def packbits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
+    out, n = bytearray(), len(data)
     values = np.frombuffer(data, np.uint8)
     edges = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [n]]) if n else np.zeros(1, int)
+    runs = np.flatnonzero(np.diff(edges) >= 3)
     plain_from = 0
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a < 3:
-            continue
+    for a, b in zip(edges[runs].tolist(), edges[runs + 1].tolist()):
         for i in range(plain_from, a, 128):
             part = data[i : min(a, i + 128)]
             out += bytes([len(part) - 1]) + part
@@ -68,72 +68,80 @@ def unpackbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: LZW: codes for clear and end, first free code, and how many codes after a clear the widths 9, 10 and 11 last.
+CLEAR, END, FREE, WIDENS = 256, 257, 258, (254, 766, 1790)
+#: Codes after a clear until the encoder clears again: the table holds 4094 entries then.
+RESET = 4094 - FREE
+
+
+def _widths(first: int, n: int) -> np.ndarray:
+    """Bits of the n codes from the one with number ``first`` after a clear; codes widen one early, as TIFF 6.0 has it."""
+    return 9 + np.searchsorted(WIDENS, np.arange(first, first + n), "right")
+
+
 def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, that widen one code early, as TIFF 6.0 has it."""
-    held, bits, out = 256, 9, bytearray()
-    codes = {bytes([i]): i for i in range(256)}
-    free, now = 258, b""
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append((held >> bits) & 255)
-            held &= (1 << bits) - 1
-
-    width = 9
-    put(256)
-    for k in range(len(data)):
-        longer = now + data[k : k + 1]
-        if longer in codes:
-            now = longer
-            continue
-        put(codes[now])
-        codes[longer] = free
-        free += 1
-        if free == 4094:
-            put(256)
-            codes, free, width = {bytes([i]): i for i in range(256)}, 258, 9
-        elif free + 1 > (1 << width):
-            width += 1
-        now = data[k : k + 1]
-    if now:
-        put(codes[now])
-        free += 1
-        if free + 1 > (1 << width) and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+    """Codes of 9 to 12 bits, high bits first; the table starts anew when it is full."""
+    codes, widths = [CLEAR], [np.array([9])]
+    rest = iter(data)
+    now = next(rest, -1)
+    while True:
+        known: dict[int, int] = {}  # by the code of the string before, shifted, and the byte behind it
+        segment: list[int] = []
+        for byte in rest:
+            pair = now << 8 | byte
+            if pair in known:
+                now = known[pair]
+                continue
+            segment.append(now)
+            now = byte
+            known[pair] = FREE + len(known)
+            if len(segment) == RESET:
+                break
+        else:
+            segment += [now, END] if now >= 0 else [END]
+            codes += segment
+            widths.append(_widths(0, len(segment)))
+            break
+        codes += [*segment, CLEAR]
+        widths.append(_widths(0, len(segment) + 1))
+    bits = np.concatenate(widths)
+    values = np.array(codes, np.uint16) << (16 - bits).astype(np.uint16)
+    every = np.unpackbits(values.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(every[np.arange(16) < bits[:, None]]).tobytes()
 
 
 def unlzw(data: bytes) -> bytes:
+    """Reads codes in blocks, as their widths follow from their numbers after a clear; data may end without an end code."""
+    raw = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+    out: list[bytes] = []
     first = [bytes([i]) for i in range(256)] + [b"", b""]
-    known, out, before = list(first), [], b""
-    width, held, bits = 9, 0, 0
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
+    known, before, at, number, total = list(first), b"", 0, 0, 8 * len(data)
+    while at + 9 <= total:
+        bits = _widths(number, 4096)
+        stop = at + np.cumsum(bits)
+        bits = bits[stop <= total]
+        if not len(bits):
+            break
+        place = stop[: len(bits)] - bits
+        byte = place >> 3
+        window = raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]
+        codes = (window >> (24 - (place & 7) - bits).astype(np.uint32)) & ((1 << bits) - 1).astype(np.uint32)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        here = int(marks[0]) if len(marks) else len(codes)
+        for code in codes[:here].tolist():
+            if not before:
+                entry = known[code]
+            else:
+                entry = known[code] if code < len(known) else before + before[:1]
+                known.append(before + entry[:1])
+            out.append(entry)
+            before = entry
+        if here == len(codes):
+            at, number = int(stop[len(codes) - 1]), number + here
+        elif codes[here] == END:
             break
-        if code == 256:
-            known, width, before = list(first), 9, b""
-            continue
-        if not before:
-            entry = known[code]
         else:
-            entry = known[code] if code < len(known) else before + before[:1]
-            known.append(before + entry[:1])
-        out.append(entry)
-        before = entry
-        if len(known) + 2 > (1 << width) and width < 12:
-            width += 1
+            at, number, known, before = int(stop[here]), 0, list(first), b""
     return b"".join(out)
 
 
@@ -141,6 +149,10 @@ PACK = {PLAIN: bytes, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 4), PACKBITS
 UNPACK = {PLAIN: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
 
 
+#: What reading a damaged file may raise.
+DAMAGED = (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error)
+
+
 def written(payload: bytes, codec: int = DEFLATE, predictor: bool = True, tiled: bool = False, order: str = "<", width: int = WIDTH) -> bytes:
     """A TIFF file of the payload, whose length is a positive multiple of the width."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
@@ -234,17 +246,17 @@ def pages(files: DataFrame, column: str = "tiff", key: str = "doc_id") -> DataFr
                 try:
                     for i, (tags, samples) in enumerate(read_pages(data) if data else ()):
                         rows.append((k, i, samples.shape[1], samples.shape[0], NAMES[tags.get(259, [1])[0]], samples.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as error:
-                    rows.append((k, None, None, None, None, None, str(error)))
+                except DAMAGED as error:
+                    rows.append((k, None, None, None, None, None, str(error) or "damaged"))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, (batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()))], names=[key, "page", "width", "height", "codec", "samples", "error"])
 
     return files.select(key, column).mapInArrow(run, f"`{key}` {kind}, page int, width int, height int, codec string, samples binary, error string")
 
 
 def layout(payload: bytes) -> dict:
-    """The form a payload is stored in; the payload alone decides, so that all codecs are in use and equal texts are stored alike."""
-    k = zlib.crc32(payload) % 16
-    return {"codec": (LZW, PACKBITS)[k] if k < 2 else DEFLATE, "predictor": k % 2 == 0, "tiled": k >= 10, "order": "<>"[k % 3 == 0]}
+    """The form a payload is stored in: its checksum deals the codecs evenly, and predictor, tiles and byte order by bits of their own."""
+    k = zlib.crc32(payload)
+    return {"codec": (DEFLATE, LZW, PACKBITS)[k % 3], "predictor": bool(k >> 8 & 1), "tiled": bool(k >> 9 & 1), "order": "<>"[k >> 10 & 1]}
 
 
 def packed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -264,23 +276,34 @@ def packed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, tiff binary").withColumnRenamed("key", key)
 
 
-def described(files: DataFrame) -> DataFrame:
-    """Reads stored files back: sizes and digests of payload and file, and a feature string of pages, mean and histogram."""
+def described(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Reads stored files (key, n_bytes, tiff) back: sizes and digests of payload and file, a feature string of pages, codec, mean
+    and histogram, and an error where a file is damaged, which has no payload then."""
+    kind = files.schema[key].dataType.simpleString()
+    types = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+
+    def row(data: bytes) -> tuple:
+        file = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            found = list(read_pages(data))
+            payload = b"".join(s.tobytes() for _, s in found)
+            samples = np.frombuffer(payload, np.uint8)
+            bins = np.bincount(samples >> 5, minlength=8)
+            mean = int(samples.sum(dtype=np.int64)) * 1000 // max(1, len(samples))
+            codec = NAMES[found[0][0].get(259, [1])[0]] if found else "none"
+            feature = f"pages={len(found)};codec={codec};mean={mean};bins={'-'.join(map(str, bins.tolist()))}"
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *file, feature, None
+        except DAMAGED as error:
+            return None, None, None, *file, None, str(error) or "damaged"
 
     def run(batches):
         for batch in pieces(batches, "tiff"):
-            rows = []
-            for data in batch.column("tiff").to_pylist():
-                found = list(read_pages(data))
-                payload = b"".join(s.tobytes() for _, s in found)
-                samples = np.frombuffer(payload, np.uint8)
-                bins = np.bincount(samples >> 5, minlength=8)
-                feature = f"pages={len(found)};codec={NAMES[found[0][0][259][0]]};mean={int(samples.sum(dtype=np.int64)) * 1000 // len(samples)};bins={'-'.join(map(str, bins.tolist()))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return files.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            rows = [row(data or b"") for data in batch.column("tiff").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), *[pa.array(list(c), t) for c, t in zip(zip(*rows), types)]], names=["key", "n_bytes", *names])
+
+    fields = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return files.select(F.col(key).alias("key"), "n_bytes", "tiff").mapInArrow(run, fields).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
