@@ -39,3 +39,18 @@ def test_empty_and_tiny_tables(spark, tmp_path):
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
     assert run(spark, tmp_path / "a", []) == []
     assert sorted(r.slot for r in run(spark, tmp_path / "b", [(1, "a"), (2, "a"), (3, None)])) in ([0, 0, 0], [0, 0, 1], [0, 1, 2])
+
+
+def test_ties_in_every_dimension_and_few_passes(spark, tmp_path, monkeypatch):
+    passes = []
+    own = sharding._histograms
+    monkeypatch.setattr(sharding, "_histograms", lambda *a: passes.append(1) or own(*a))
+    monkeypatch.setattr(sharding, "SAMPLE", 500)
+    rows = [(i, "one text for all") for i in range(3000)] + [(i, "w" * (i % 7)) for i in range(3000, 6000)] + [(6000 + i, "x" * 20_000) for i in range(5)]
+    out = run(spark, tmp_path, rows)
+    load = collections.Counter()
+    for r in out:
+        load[r.shard] += r.size
+    mean = sum(load.values()) / 40
+    assert len(out) == len(rows) and len(passes) <= 42
+    assert max(load.values()) <= mean + 20_016 + 0.02 * mean
