@@ -9,8 +9,10 @@ The record separator is the line separator of the text writer, so archives need
 write and read them in the shared folder through Spark.
 
 Defined results: a null html is an empty payload; a null url is written as ``-``; a null page id is always
-a response; a repeated row gives its result once for each time; an archive whose segments are missing, out
-of number or of the wrong total length gives a row with an error and no payload.
+a response; a repeated row gives its result once for each time; a record whose segments are missing, out
+of number or of the wrong total length gives a row with an error and no payload. So does a damaged stretch of
+an archive (a broken gzip stream, a header without its end, length or identifier): reading goes on at the next
+record that begins behind one. An empty archive has no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import pieces, shared_folder, table
+from tensorloom.llm.common import forget, frequent, often, pieces, shared_folder, spread, stored, table
 
 SEGMENT, CHUNK = 65_536, 16_384
 #: Records of one archive at most; with SEGMENT it bounds what a task holds at once.
@@ -91,8 +93,9 @@ def write(pages: DataFrame, path: str) -> None:
     """Writes rows of (page_id, url, html) as gzipped archives of at most RECORDS records into the folder."""
     rows = pages.select(F.col("page_id").cast("long").alias("page"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    # only payloads that occur twice need a lookup
-    several = rows.groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # only payloads that occur twice need a lookup; the most frequent ones are dealt to several tasks
+    several = stored(rows.groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("m")).where("m > 1"), "payloads")
+    hot = several.where(F.col("m") > often(several.agg(F.sum("m")).first()[0] or 0)).select("sha", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
@@ -101,31 +104,63 @@ def write(pages: DataFrame, path: str) -> None:
                 made += records(page, url, html.encode(), first)
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    out = rows.join(several, "sha", "left").select("page", "url", "html", "first").mapInArrow(run, "record binary")
+    out = spread(rows, several.drop("m"), "sha", "page", hot, "left").select("page", "url", "html", "first").mapInArrow(run, "record binary")
     out.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    forget(several)
+
+
+def _unzipped(data: bytes) -> tuple[bytes, str | None]:
+    """The bytes of all gzip members, as far as they can be read, and what was wrong with the rest."""
+    whole = []
+    while data:
+        stream = zlib.decompressobj(31)
+        try:
+            whole.append(stream.decompress(data))
+        except zlib.error as error:
+            return b"".join(whole), f"the archive is damaged: {error}"
+        if not stream.eof:
+            return b"".join(whole), "the archive is cut off"
+        data = stream.unused_data
+    return b"".join(whole), None
+
+
+def _record_at(data: bytes, at: int) -> tuple[tuple, int]:
+    """The record that begins there, as _FIELDS has it, and where the next one begins; raises ValueError."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0 or not data.startswith(b"WARC/", at):
+        raise ValueError("a record has no header")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[at:end].decode(errors="replace").split("\r\n")[1:])}
+    for name in ("content-length", "warc-record-id", "warc-type"):
+        if not fields.get(name):
+            raise ValueError(f"a record has no {name}")
+    size = int(fields["content-length"])
+    if size < 0:
+        raise ValueError("a record has a negative length")
+    block = data[end + 4 : end + 4 + size]
+    name = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+    page = name.split(":")[3] if name.startswith("<urn:tensorloom:page:") else ""
+    number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    row = int(page) if page.lstrip("-").isdigit() else None, name, fields["warc-type"], fields.get("warc-refers-to"), digest, int(number) if number else None, int(total) if total else None, block, None if len(block) == size else "the record is cut off"
+    return row, end + 4 + size + 4
 
 
 def parsed(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, as _FIELDS has them."""
+    """The records of an archive, as _FIELDS has them; a damaged stretch is a row of type ``damaged``."""
+    wrong = None
     if data[:2] == b"\x1f\x8b":
-        whole = []
-        while data:
-            stream = zlib.decompressobj(31)
-            whole.append(stream.decompress(data) + stream.flush())
-            data = stream.unused_data
-        data = b"".join(whole)
+        data, wrong = _unzipped(data)
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[at:end].decode(errors="replace").split("\r\n")[1:])}
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        name = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-        page = name.split(":")[3] if name.startswith("<urn:tensorloom:page:") else "-"
-        number = fields.get("warc-segment-number")
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-        yield (None if page == "-" else int(page), name, fields["warc-type"], fields.get("warc-refers-to"), digest, number and int(number), int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, block, None if len(block) == size else "the record is cut off")
+        try:
+            row, at = _record_at(data, at)
+        except ValueError as error:
+            row = None, None, "damaged", None, "", None, None, b"", str(error)
+            found = data.find(b"\r\n\r\nWARC/", at)
+            at = found + 4 if found >= 0 else len(data)
+        yield row
+    if wrong:
+        yield None, None, "damaged", None, "", None, None, b"", wrong
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,12 +222,12 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import uuid
 
-    from tensorloom.llm.common import stored
-
     path = f"{shared_folder(spark)}/tensorloom/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
     back = stored(read(spark, path, payloads=False).drop("payload"), "records")
     lengths = back.where("type = 'response'").select(F.col("id").alias("refers"), F.col("bytes").alias("full"), F.col("page").alias("to")).distinct()
-    out = back.where("type = 'revisit'").join(lengths, "refers", "left").select("page", F.col("full").alias("bytes"), "digest", "type", "to")
+    again = back.where("type = 'revisit'")
+    hot = frequent(again, "refers", again.count())
+    out = spread(again, lengths, "refers", "id", hot, "left").select("page", F.col("full").alias("bytes"), "digest", "type", "to")
     every = back.where("type = 'response'").select("page", "bytes", "digest", "type", F.lit(None).cast("long").alias("to")).unionByName(out)
     return every.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to").alias("refers_to"))
