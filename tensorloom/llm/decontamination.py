@@ -7,11 +7,13 @@ bands of diagonals; align the bands that reach a passage's bound, within k diago
 
 Texts are compared lower-cased and with runs of white space as one space, in UTF-8 bytes. Passages shorter than
 ``SHORT`` bytes are only looked for literally. The passages are indexed on the driver in blocks of at most
-``BLOCK`` bytes, a pass over the documents for each block, so no broadcast grows beyond that.
+``BLOCK`` bytes, a pass over the documents for each block, so no broadcast grows beyond some 40 bytes for each of
+those; a benchmark of many blocks costs as many passes.
 
 Defined results: null and empty texts match nothing; empty passages are ignored; a document and passage that
 match give one row, for the best match (the fewest edits, then the first); repeated rows give repeated matches;
-an empty table gives an empty result.
+an empty table gives an empty result; ids of documents and passages may be of any type that text can be cast to
+and back; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ Q = 8
 #: Edits allowed for a byte of a passage.
 EDITS = 0.06
 SHORT = 32
-BLOCK = 4_000_000
+#: Bytes of the passages of an index; it holds some 40 bytes for each, which every Python worker gets.
+BLOCK = 2_000_000
+#: Shared q-grams (text position, passage position) that are looked at at once.
+SLICE = 1 << 18
 
 
 def normal(text: str | None) -> bytes:
@@ -47,7 +52,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a block of passages."""
 
-    def __init__(self, passages: list[tuple[int, bytes]]):
+    def __init__(self, passages: list[tuple[str | None, bytes]]):
         self.passages = passages
         self.length = np.array([len(p) for _, p in passages], np.int64)
         self.edits = np.minimum((EDITS * self.length).astype(np.int64), np.maximum(0, (self.length - Q) // Q))
@@ -58,8 +63,9 @@ class Index:
         item = np.repeat([i for _, i in found], [len(g) for g, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64)
         at = np.concatenate([np.arange(len(g)) for g, _ in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
-        self.item, self.at = item[order], at[order]
-        self.gram, self.first, self.many = np.unique(gram[order], return_index=True, return_counts=True)
+        self.item, self.at = item[order].astype(np.int32), at[order].astype(np.int32)
+        self.gram, first, many = np.unique(gram[order], return_index=True, return_counts=True)
+        self.first, self.many = first.astype(np.int32), many.astype(np.int32)
         # a table of bits that most other grams miss
         self.shift = np.uint64(64 - max(16, int(16 * max(1, len(self.gram))).bit_length()))
         self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
@@ -103,28 +109,38 @@ class Index:
         hit, place = hit[near], place[near]
         if not len(hit):
             return set()
-        found = set()
-        for i in range(0, len(hit), 1 << 16):
-            # a slice reaches back far enough for every band to be whole in some slice
-            back = np.searchsorted(hit, hit[i] - 2 * int(self.length.max()) - 2 * Q)
-            part = slice(min(back, i), i + (1 << 16))
-            many = self.many[place[part]]
-            where = np.repeat(hit[part], many)
-            entry = np.arange(many.sum()) + np.repeat(self.first[place[part]] - (np.cumsum(many) - many), many)
-            item = self.item[entry]
-            diagonal = where - self.at[entry] + int(self.length.max())
+        found: set[tuple[int, int]] = set()
+        longest = int(self.length.max())
+        total = np.cumsum(self.many[place], dtype=np.int64)
+        # counts of the bands that may still grow, by lap
+        open_bands = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in (0, 1)]
+        i = 0
+        while i < len(hit):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SLICE, "right")))
+            many = self.many[place[i:j]].astype(np.int64)
+            where = np.repeat(hit[i:j], many)
+            entry = np.arange(many.sum()) + np.repeat(self.first[place[i:j]] - (np.cumsum(many) - many), many)
+            item = self.item[entry].astype(np.int64)
+            diagonal = where - self.at[entry] + longest
             width = self.edits[item] + 1
             for lap in (0, 1):
                 # bands of two widths, each overlapping the next by one
                 band = (diagonal // width + lap) // 2
-                key, n = np.unique(item * (1 << 40) + band, return_counts=True)
+                seen, had = open_bands[lap]
+                key, which = np.unique(np.concatenate([seen, item * (1 << 40) + band]), return_inverse=True)
+                n = np.bincount(which, np.concatenate([had, np.ones(len(item), np.int64)]), len(key)).astype(np.int64)
                 who = key >> 40
+                wide = self.edits[who] + 1
+                start = ((key & ((1 << 40) - 1)) * 2 - lap) * wide - longest
                 ok = n >= self.bound[who]
-                start = ((key[ok] & ((1 << 40) - 1)) * 2 - lap) * (self.edits[who[ok]] + 1) - int(self.length.max())
-                found |= set(zip(who[ok].tolist(), start.tolist()))
+                found |= set(zip(who[ok].tolist(), start[ok].tolist()))
+                # a band that ends before the next marked position is done
+                grows = start + 2 * wide + self.length[who] >= hit[j] if j < len(hit) else np.zeros(len(key), bool)
+                open_bands[lap] = key[grows], n[grows]
+            i = j
         return found
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[str | None, int, int, int]]:
         """(item, start, end, edits) in the normalised text, the best for each passage."""
         raw = normal(text)
         best: dict[int, tuple[int, int, int]] = {}
@@ -192,7 +208,7 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> I
         if held and size + len(passage) > BLOCK:
             yield Index(held)
             held, size = [], 0
-        held.append((r[0], passage))
+        held.append((None if r[0] is None else str(r[0]), passage))
         size += len(passage)
     yield Index(held)
 
@@ -210,9 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
             for batch in batches:
                 rows = [(i, *m) for i, t in enumerate(batch.column("text")) for m in shared.value.matches(t.as_py())]
                 at, items, start, end, edits = zip(*rows) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], names=["key", "item", "match_start", "match_end", "edits"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(items, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], names=["key", "item", "match_start", "match_end", "edits"])
 
-        part = source.mapInArrow(run, f"key {kinds[0]}, item long, match_start long, match_end long, edits int")
+        part = source.mapInArrow(run, f"key {kinds[0]}, item string, match_start long, match_end long, edits int")
         out = part if out is None else out.union(part)
     return out.withColumn("item", F.col("item").cast(kinds[1])).withColumnsRenamed({"key": key, "item": item})
 

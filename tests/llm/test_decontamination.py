@@ -75,3 +75,23 @@ def test_long_texts_of_one_gram():
     index = d.Index([(1, b"na" * 60)])
     assert index.matches("na" * 50000)[0][3] == 0 and index.matches("nanx" * 9000) == []
     assert np.all(index.bound >= 1)
+
+
+@pytest.mark.parametrize("small", [1, 40, 700])
+def test_slices_of_shared_grams_change_nothing(monkeypatch, small):
+    rnd = random.Random(small)
+    common = "the same beginning of all of the passages "
+    passages = [common + " ".join("".join(rnd.choice("abcde") for _ in range(4)) for _ in range(10)) for _ in range(12)]
+    index = d.Index([(str(i), p.encode()) for i, p in enumerate(passages)])
+    texts = [common * 3 + edited(rnd, p, k % 4) + " " + common + passages[0] for k, p in enumerate(passages)]
+    want = [index.matches(t) for t in texts]
+    monkeypatch.setattr(d, "SLICE", small)
+    assert [index.matches(t) for t in texts] == want and all(any(m[0] == "0" for m in w) for w in want)
+
+
+def test_ids_of_other_types(spark):
+    passage = "Nine small boats went down the wide river in the grey light of a cold morning in March."
+    bench = spark.createDataFrame([("item-a", passage, 5), (None, "another passage that is long enough to be looked for in texts", 6)], "item_id string, text string, doc_id int")
+    docs = spark.createDataFrame([("x", passage), (None, passage), ("y", "so another passage that is long enough to be looked for in texts")], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()), key=repr)
+    assert got == sorted([("x", "item-a"), (None, "item-a"), ("y", None)], key=repr)
