@@ -8,7 +8,8 @@ votes on good and on bad texts. The posteriors of up to ``TRAIN`` rows (those wi
 ids) teach a logistic regression on hashed pairs of word shapes, which scores every row.
 
 Defined results: null and wordless texts get no votes and a score from the bias alone plus the mark for empty texts;
-a repeated row is scored each time; an empty table gives an empty result.
+a repeated row is scored each time, and of an id's texts the least one teaches; a score equal to the threshold keeps a text;
+rows with a null id are scored but don't teach; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,7 +174,8 @@ class Model:
         out = np.zeros(len(starts) - 1)
         for i in range(0, len(out), 512):
             part = starts[i : i + 513]
-            out[i : i + 512] = hashed(data[part[0] : part[-1]], part - part[0]) @ self.weights + self.bias
+            # row sums, as the rounding of a matrix product would depend on the number of rows
+            out[i : i + 512] = (hashed(data[part[0] : part[-1]], part - part[0]) * self.weights.astype(float)).sum(1) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
@@ -205,7 +207,9 @@ def learned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(y), rows], names=["y", "x"])
 
     ids = source.select("key").where("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(TRAIN)
-    sample = source.join(F.broadcast(ids), "key", "left_semi").mapInArrow(taught, "y double, x binary").limit(2 * TRAIN).toPandas()
+    # one text of each id, so that at most TRAIN rows come to the driver, 4 KB each
+    texts = source.join(F.broadcast(ids), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    sample = texts.mapInArrow(taught, "y double, x binary").toPandas()
     sample = sample.sort_values(["y", "x"])  # the order of partitions doesn't matter
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, BUCKETS)
     weights, bias = fitted(x, sample["y"].to_numpy(np.float32))
