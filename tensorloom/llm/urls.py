@@ -6,7 +6,8 @@ and reaches the plan as an array of ``BUCKETS`` whole-numbered weights.
 
 Defined results: a null url or one without ``://`` has an empty host and path, matches no rule and is
 judged by the model on the empty string; hosts lower-case A-Z only; ports and user names belong to the
-host as written; an empty path doesn't start with ``/``; repeated rows give repeated results.
+host as written; an empty path doesn't start with ``/``; of rules of equal length the smallest by host and path
+holds; repeated rows give repeated results, an empty table an empty one; other columns of ``judged`` stay.
 """
 
 from __future__ import annotations
@@ -69,17 +70,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def margin(text: Column, weights: list[int], bias: int) -> Column:
     """The model's sum for a text, in multiples of 1 / SCALE."""
-    framed = F.concat(F.lit("^"), text, F.lit("$"))
+    codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
     table = F.lit(weights)
 
-    def code(i: Column) -> Column:
-        return F.ascii(F.substr(framed, i, F.lit(1))).cast("long")
+    def summed(code: Column) -> Column:
+        def weight(i: Column) -> Column:
+            gram = F.element_at(code, i) * 961 + F.element_at(code, i + 1) * 31 + F.element_at(code, i + 2)
+            return F.element_at(table, (gram % BUCKETS + 1).cast("int")).cast("long")
 
-    def weight(i: Column) -> Column:
-        return F.element_at(table, ((code(i) * 961 + code(i + 1) * 31 + code(i + 2)) % BUCKETS + 1).cast("int")).cast("long")
+        last = F.size(code) - 2
+        first = F.lit(bias).cast("long")
+        return F.when(last >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), first, lambda total, i: total + weight(i))).otherwise(first)
 
-    last = F.char_length(framed) - 2
-    return F.when(last >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), F.lit(bias).cast("long"), lambda total, i: total + weight(i))).otherwise(F.lit(bias).cast("long"))
+    # the codes become a lambda's variable, so that they are computed once a row
+    return F.element_at(F.transform(F.array(codes), summed), 1)
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, model: tuple[list[int], int] | None = None, url: str = "url") -> DataFrame:
