@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Elements of an outer product, of operands without a shared index, at most.
+OUTER = 10_000_000
+
+
 def summed(cells: DataFrame, *kept: str) -> DataFrame:
     """Sum over all indexes but the kept ones; also merges duplicates of a sparse tensor."""
     return cells.groupBy(*kept).agg(F.sum("value").alias("value"))
@@ -52,7 +56,10 @@ def contraction_order(operands: list[str], output: str, sizes: dict[str, int]) -
 
 
 def einsum(equation: str, *operands: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
-    """General contraction of element tables whose index columns are named i0, i1, ...; returns i0, i1, ... and value."""
+    """General contraction of element tables whose index columns are named i0, i1, ...; returns i0, i1, ... and value.
+
+    Operands that share no index are multiplied out only up to ``OUTER`` elements; beyond, that is an error.
+    """
     inputs, output = parse_equation(equation)
     if len(inputs) != len(operands):
         raise ValueError(f"{equation} has {len(inputs)} operands, not {len(operands)}")
@@ -69,6 +76,8 @@ def einsum(equation: str, *operands: DataFrame, sizes: dict[str, int] | None = N
         kept = "".join(c for c in dict.fromkeys(la + lb) if c in rest)
         shared = [c for c in la if c in lb]
         right = db.select(*[F.col(c) for c in lb], F.col("value").alias("_other"))
+        if not shared and (n := da.count() * db.count()) > OUTER:
+            raise ValueError(f"{equation} asks for an outer product of {n} elements, more than {OUTER}")
         joined = da.join(right, shared) if shared else da.crossJoin(right)  # an outer product is asked for by the equation
         tables[fresh] = kept, joined.groupBy(*kept).agg(F.sum(F.col("value") * F.col("_other")).alias("value"))
         fresh += 1

@@ -70,6 +70,14 @@ def test_einsum_planner(spark):
         elements.parse_equation("ij,jk->ix")
 
 
+def test_outer_products_are_bounded(spark, monkeypatch):
+    v = spark.createDataFrame([(i, float(i)) for i in range(4)], "i0 long, value double")
+    assert elements.einsum("i,j->ij", v, v).count() == 16
+    monkeypatch.setattr(elements, "OUTER", 15)
+    with pytest.raises(ValueError):
+        elements.einsum("i,j->ij", v, v)
+
+
 def test_catalog(spark):
     rows = [("t1", "x", ["a", "b", "c"], {"project": "Alpha"}, 100.0), ("t2", "y", ["b", "c"], {}, 200.0), ("t3", "x", None, None, 150.0), ("t4", None, ["a", "b"], {"k": "v"}, None)]
     d = spark.createDataFrame(rows, "tensor_id string, owner string, tags array<string>, meta map<string,string>, bytes double")
