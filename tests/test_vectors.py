@@ -206,3 +206,46 @@ def test_determinants_codecs_and_contractions_by_brute_force(spark, sf):
     values = {i: np.linalg.svd(a.reshape(8, 8), compute_uv=False) for i, a in v.items()}
     assert top == sorted(v, key=lambda i: (np.linalg.norm(values[i] - values[0]), i))[:10]
     assert searching.contraction_topk(spark, sf).orderBy("rank").first().vec_id == 0
+
+
+def test_descriptors_samples_and_forecasts_by_brute_force(spark, sf):
+    from tensorloom.queries import search as searching
+
+    v = {r.vec_id: np.array(r.data).reshape(8, 8) for r in model.vectors(spark, sf).collect()}
+    for r in tables.matrix_descriptor(spark, sf).collect():
+        a = v[r.vec_id]
+        s = np.sqrt(np.maximum(np.linalg.eigvalsh(a.T @ a), 0))
+        assert r.rank == np.linalg.matrix_rank(a) and np.allclose([r.spectral_norm, r.nuclear_norm, r.trace], [s.max(), s.sum(), sum(a[k, k] for k in range(8))], atol=1e-3)
+        assert not (r.is_symmetric or r.is_orthogonal or r.is_diagonal)
+    one, again = ([tuple(r) for r in tables.sample_n(spark, sf).orderBy("vec_id").collect()] for _ in range(2))
+    assert one == again and len({i for i, _ in one}) == 25 and {i for i, _ in one} <= set(v)
+    daily = {}
+    for r in model.read(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value").collect():
+        daily.setdefault(r.event_type, {}).setdefault(r.day, []).append(r.value)
+    got = {(r.event_type, r.step): r.value for r in tables.ts_ar_forecast(spark, sf).collect()}
+    for kind, days in daily.items():
+        level = [math.fsum(days[d]) for d in sorted(days)]
+        x = [b - a for a, b in zip(level, level[1:])]
+        p = min(2, (len(x) - 1) // 2)
+        rows = [[1.0, *[x[t - k - 1] for k in range(p)]] for t in range(p, len(x))]
+        weights = np.linalg.pinv(np.array(rows)) @ np.array(x[p:])
+        last = level[-1]
+        for step in range(1, 6):
+            x.append(float(weights @ np.array([1.0, *[x[-k - 1] for k in range(p)]])))
+            last += x[-1]
+            assert math.isclose(got[kind, step], last, rel_tol=1e-6, abs_tol=1e-6)
+
+    def frames(a):
+        return [np.linalg.svd(m)[0][:, :3] for m in (a, a.T)]
+
+    def similarity(a, b):
+        """Principal angles by the singular values of products of frames; cores turned by the polar factors."""
+        fa, fb = frames(a), frames(b)
+        angles = [np.sqrt((np.arccos(np.clip(np.linalg.svd(p.T @ q, compute_uv=False), -1, 1)) ** 2).sum()) for p, q in zip(fa, fb)]
+        turns = [(lambda u, s, w: u @ w)(*np.linalg.svd(p.T @ q)) for p, q in zip(fa, fb)]
+        ca, cb = fa[0].T @ a @ fa[1], fb[0].T @ b @ fb[1]
+        return math.exp(-(0.6 * np.mean(angles) + 0.4 * np.linalg.norm(ca - turns[0] @ cb @ turns[1].T)))
+
+    want = sorted(((round(similarity(a, v[0]), 5), -i) for i, a in v.items()), reverse=True)[:10]
+    found = [(r.score, -r.vec_id) for r in searching.contraction_topk(spark, sf).orderBy("rank").collect()]
+    assert np.allclose([s for s, _ in found], [s for s, _ in want], atol=1e-4) and found[0][1] == 0
