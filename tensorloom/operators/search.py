@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructType
 
 from tensorloom.functions import dense as D
 from tensorloom.operators import linalg
 
-#: Queries of a block, and rows of a group that a block meets at once where there are several blocks.
-QUERY_BLOCK, GROUP_ROWS = 1024, 20_000
+#: Queries of a block, and rows of a group that MEETING blocks meet in one task where there are several; scores held at once.
+QUERY_BLOCK, GROUP_ROWS, MEETING, SCORES = 1024, 20_000, 16, 1 << 20
 
 
 def literal(values) -> Column:
@@ -53,67 +55,140 @@ def matches_filter(metadata: str, **wanted: str) -> Column:
     return out
 
 
-def _nearest_of(ids: np.ndarray, q: np.ndarray, k: int, metric: str, best: tuple[np.ndarray, np.ndarray], who: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best scores and ids of each query, of those so far and some more rows; a query doesn't find itself."""
-    product = q @ x.T
-    if metric == "cosine":
-        score = product / np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)), 1e-300)
-    elif metric == "l2":
-        score = 1 / (1 + np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * product, 0))
-    else:
-        score = product
-    score[ids[:, None] == who] = -np.inf
-    every, names = np.hstack([best[0], score]), np.hstack([best[1], np.broadcast_to(who, score.shape)])
-    order = np.lexsort((names, -every), axis=1)[:, :k]
-    return np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of lists of one length as the rows of a matrix."""
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = own.value_lengths()
+    if own.null_count or len(lengths.unique()) > 1:
+        raise ValueError("the vectors differ in size")
+    return own.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(own), lengths[0].as_py() if len(own) else 0)
+
+
+def _names(column) -> np.ndarray:
+    return column.to_numpy() if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist())
+
+
+def _near(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """How near each row of q is to the same row of x, more being nearer. A pair has one value wherever its rows stand, so that copies tie."""
+    if metric == "l2":
+        return -((q - x) ** 2).sum(1)
+    product = (q * x).sum(1)
+    if metric == "dot":
+        return product
+    a, b = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    return np.where((a < 1e-10) | (b < 1e-10), 0.0, product / np.maximum(a * b, 1e-300))
 
 
-def _rows_of(ids: np.ndarray, best: tuple[np.ndarray, np.ndarray], key: str) -> pd.DataFrame:
-    ok = np.isfinite(best[0])
-    return pd.DataFrame({"query_id": np.repeat(ids, ok.sum(1)), key: best[1][ok], "score": best[0][ok]})
+class _Best:
+    """The k nearest rows of each query of a block, equal ones by id; a query doesn't find itself.
+
+    A product of matrices leaves out the rows that are surely farther than k others; the rest are compared pair by
+    pair. Rows are met in pieces, so that at most about SCORES values are held at once.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.k, self.metric = ids, q, k, metric
+        self.size = np.sqrt((q * q).sum(1))
+        self.at, self.names, self.near = np.zeros(0, int), None, np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, names: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, SCORES // max(1, len(self.ids)))
+        for part in range(0, len(x) if len(self.ids) else 0, step):
+            self._add(names[part : part + step], x[part : part + step])
+
+    def _add(self, names: np.ndarray, x: np.ndarray) -> None:
+        size, near = np.sqrt((x * x).sum(1)), self.q @ x.T
+        if self.metric == "cosine":
+            for s, axis in ((self.size, 1), (size, 0)):
+                near *= np.expand_dims(np.where(s < 1e-10, 0.0, 1 / np.maximum(s, 1e-10)), axis)
+            slack = 1e-9
+        elif self.metric == "l2":
+            near *= 2
+            near -= self.size[:, None] ** 2
+            near -= size**2
+            slack = 1e-10 * (self.size.max() ** 2 + size.max() ** 2)
+        else:
+            slack = 1e-10 * self.size.max() * size.max()
+        if not np.isfinite(near.sum()):
+            near[~np.isfinite(near)], slack = -np.inf, np.nan_to_num(slack)
+        near[self.ids[:, None] == names] = -np.inf
+        hits = near >= (self.least - slack)[:, None]
+        if near.shape[1] > self.k and np.count_nonzero(hits) > 4 * self.k * len(self.ids):
+            hits &= near >= (np.partition(near, -self.k, axis=1)[:, -self.k] - slack)[:, None]
+        i, j = np.nonzero(hits)
+        exact = np.concatenate([np.zeros(0), *[_near(self.q[i[n : n + 16384]], x[j[n : n + 16384]], self.metric) for n in range(0, len(i), 16384)]])
+        ok = np.isfinite(exact) & np.isfinite(near[i, j])
+        at, near = np.append(self.at, i[ok]), np.append(self.near, exact[ok])
+        names = names[j[ok]] if self.names is None else np.append(self.names, names[j[ok]])
+        order = np.lexsort((names, -near, at))
+        rank = np.arange(len(at)) - np.searchsorted(at[order], np.arange(len(self.ids)))[at[order]]
+        keep = order[rank < self.k]
+        self.at, self.names, self.near = at[keep], names[keep], near[keep]
+        last = order[rank == self.k - 1]
+        self.least[at[last]] = near[last]
+
+    def table(self, schema: pa.Schema) -> pa.Table:
+        names = [] if self.names is None else self.names
+        score = 1 / (1 - self.near) if self.metric == "l2" else self.near
+        return pa.table([pa.array(c, t) for c, t in zip((self.ids[self.at], names, score), schema.types)], schema=schema)
+
+
+def _answer(queries: DataFrame, corpus: DataFrame, query_id: str, key: str) -> tuple[StructType, pa.Schema]:
+    schema = StructType().add("query_id", queries.schema[query_id].dataType).add(key, corpus.schema[key].dataType).add("score", DoubleType())
+    return schema, to_arrow_schema(schema)
+
+
+def met(queries: DataFrame, rows: DataFrame, by: list[str], k: int, metric: str, key: str) -> DataFrame:
+    """(query_id, key, score) of the k nearest rows (key, _x) of each query (query_id, _q) in its group; one task a group, which is to be bounded."""
+    schema, arrow = _answer(queries, rows, "query_id", key)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            ids, q, names, x = _names(left["query_id"]), _matrix(left["_q"]), _names(right[key]), _matrix(right["_x"])
+            for part in range(0, len(ids), QUERY_BLOCK):
+                best = _Best(ids[part : part + QUERY_BLOCK], q[part : part + QUERY_BLOCK], k, metric)
+                best.add(names, x)
+                out.append(best.table(arrow))
+        return pa.concat_tables([arrow.empty_table(), *out])
+
+    return queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(meet, schema)
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", data: str = "data") -> DataFrame:
     """(query id, id, score, rank) of the k nearest of each query, itself excluded; ``queries`` is a stated query set.
 
     A block of at most QUERY_BLOCK queries (which bounds its bytes) goes to all tasks of one scan. More queries are
-    dealt to blocks, and each block meets each group of some GROUP_ROWS rows in a task of its own, without the
-    driver. Each task keeps k rows for a query, so only those are shuffled on.
+    dealt to blocks of MEETING times as many, and each block meets each group of some GROUP_ROWS rows in a task of
+    its own, without the driver. Each task keeps k rows for a query, so only those are shuffled on.
     """
-    schema = f"query_id long, {key} long, score double"
     n = queries.count()
     if n <= QUERY_BLOCK:
-        held = queries.select(key, data).collect()
-        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float)
+        schema, arrow = _answer(queries, corpus, key, key)
+        held = queries.select(key, data).toArrow()
+        ids, q = _names(held[key]), _matrix(held[data])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(ids, q, k, metric)
             for batch in batches:
-                for part in range(0, len(batch) if len(ids) else 0, 4096):
-                    own = batch.iloc[part : part + 4096]
-                    best = _nearest_of(ids, q, k, metric, best, own[key].to_numpy(), np.stack(own[data].to_numpy()).astype(float))
-            yield _rows_of(ids, best, key)
+                if len(ids):
+                    best.add(_names(batch[key]), _matrix(batch[data]))
+            yield from best.table(arrow).to_batches()
 
-        out = corpus.select(key, data).mapInPandas(run, schema)
+        out = corpus.select(key, data).mapInArrow(run, schema)
     else:
-        blocks, groups = -(-n // QUERY_BLOCK), max(1, -(-corpus.count() // GROUP_ROWS))
-        asked = queries.select(key, data, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-        rows = corpus.select(key, data, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(groups)).cast("int").alias("_g"))
-        asked = asked.withColumn("_b", F.col("_b").cast("int"))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            own = left[key].to_numpy()
-            best = np.full((len(own), k), -np.inf), np.full((len(own), k), -1, np.int64)
-            if len(left) and len(right):
-                x = np.stack(left[data].to_numpy()).astype(float)
-                for part in range(0, len(right), 4096):
-                    some = right.iloc[part : part + 4096]
-                    best = _nearest_of(own, x, k, metric, best, some[key].to_numpy(), np.stack(some[data].to_numpy()).astype(float))
-            return _rows_of(own, best, key)
-
-        out = asked.groupBy("_b", "_g").cogroup(rows.groupBy("_b", "_g")).applyInPandas(meet, schema)
+        blocks, groups = -(-n // (MEETING * QUERY_BLOCK)), max(1, -(-corpus.count() // GROUP_ROWS))
+        asked = queries.select(F.col(key).alias("query_id"), F.col(data).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+        rows = corpus.select(key, F.col(data).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(groups)).cast("int").alias("_g"))
+        out = met(asked, rows, ["_b", "_g"], k, metric, key)
+    return best_of_each(out, k, key)
+
+
+def best_of_each(found: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """The k rows of each query with the best scores, equal ones by id, and their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 # contraction similarity

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import dense as D
 from tensorloom.operators import linalg, prefix, search
+from tensorloom.sources.cut import written
 
 #: Rows of a shard and of a group of the graph, neighbours of a node, candidates of its building and searching, and slack of its pruning.
 SHARD_ROWS, GROUP_ROWS = 100_000, 4_000
@@ -61,6 +62,10 @@ def nearest_centroid(data, centroids: list[list[float]]) -> Column:
     return F.when(F.size(d) == len(centroids[0]), D.bound(distances, lambda own: (F.array_position(own, F.array_min(own)) - 1).cast("int")))
 
 
+def _fits(data: str, dim: int) -> Column:
+    return (F.size(data) == dim) & ~F.exists(data, F.isnull)
+
+
 class Partitions:
     """Inverted lists around given centroids, or ones that k-means finds; stored by list, so that a probe reads its lists alone."""
 
@@ -73,14 +78,16 @@ class Partitions:
             model = KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors.select(array_to_vector(F.col(data).cast("array<double>")).alias("_v")))
             centroids = [[float(x) for x in c] for c in model.clusterCenters()]
         self.centroids = centroids
-        self.rows = vectors.withColumn("list", nearest_centroid(data, centroids)).where("list IS NOT NULL")
+        self.stored = False
+        # the size, not the list, decides, so that the distances are computed once a row
+        self.rows = vectors.where(_fits(data, len(centroids[0]))).withColumn("list", nearest_centroid(data, centroids))
 
     def saved(self, path: str) -> Partitions:
         """The rows written by list under a shared folder; searches then prune folders."""
         self.rows.repartition("list", F.pmod(F.xxhash64(self.key), F.lit(4))).write.partitionBy("list").parquet(path)
         out = object.__new__(Partitions)
         out.__dict__.update(self.__dict__)
-        out.rows = self.rows.sparkSession.read.parquet(path)
+        out.rows, out.stored = self.rows.sparkSession.read.parquet(path), True
         return out
 
     def statistics(self) -> DataFrame:
@@ -98,18 +105,22 @@ class Partitions:
         return search.nearest(self.rows.where(F.col("list").isin([int(i) for i in order])), query, k, metric, tie=self.key, data=self.data)
 
     def knn_join(self, queries: DataFrame, k: int = 10, metric: str = "cosine", probes: int = 4) -> DataFrame:
-        """(query_id, key, score, rank) of the k nearest in each query's closest lists, itself excluded: an equi-join on the list.
+        """(query_id, key, score, rank) of the k nearest in each query's closest lists, itself excluded; queries of another dimension find nothing.
 
-        A list's rows and queries meet in groups of bounded size; large lists are dealt to several groups.
+        Blocks of a list's queries and groups of its rows meet in tasks of bounded size, as many as the list needs, and
+        each task keeps k rows for a query.
         """
-        parts = 8
-        q = queries.select(F.col(self.key).alias("query_id"), F.col(self.data).alias("_q"), F.explode(self.probes(F.col(self.data), probes)).alias("list"))
-        q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        rows = self.rows.select(self.key, F.col(self.data).alias("_x"), "list", F.pmod(F.xxhash64(self.key), F.lit(parts)).cast("int").alias("_part"))
-        met = q.join(rows, ["list", "_part"]).where(F.col("query_id") != F.col(self.key))
-        scored = met.select("query_id", self.key, D.score_of(D.metric_distance("_x", F.col("_q"), metric), metric).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), self.key)
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        q = queries.where(_fits(self.data, len(self.centroids[0])))
+        q = q.select(F.col(self.key).alias("query_id"), F.col(self.data).alias("_q"), F.explode(self.probes(F.col(self.data), probes)).alias("list"))
+        rows = self.rows.select(self.key, F.col(self.data).alias("_x"), "list")
+        rows = rows if self.stored else written(rows, "lists")
+        parts = [F.ceil(F.count("*") / n).cast("int").alias(c) for c, n in (("_blocks", search.MEETING * search.QUERY_BLOCK), ("_groups", search.GROUP_ROWS))]
+        # as many rows as there are lists
+        parts = F.broadcast(q.groupBy("list").agg(parts[0]).join(rows.groupBy("list").agg(parts[1]), "list"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        q = q.join(parts, "list").select("query_id", "_q", "list", F.pmod(F.xxhash64("query_id"), "_blocks").cast("int").alias("_b"), every("_groups").alias("_g"))
+        rows = rows.join(parts, "list").select(self.key, "_x", "list", every("_blocks").alias("_b"), F.pmod(F.xxhash64(self.key, F.lit(1)), "_groups").cast("int").alias("_g"))
+        return search.best_of_each(search.met(q, rows, ["list", "_b", "_g"], k, metric, self.key), k, self.key)
 
 
 # a neighbour graph

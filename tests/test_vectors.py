@@ -249,3 +249,25 @@ def test_descriptors_samples_and_forecasts_by_brute_force(spark, sf):
     want = sorted(((round(similarity(a, v[0]), 5), -i) for i, a in v.items()), reverse=True)[:10]
     found = [(r.score, -r.vec_id) for r in searching.contraction_topk(spark, sf).orderBy("rank").collect()]
     assert np.allclose([s for s, _ in found], [s for s, _ in want], atol=1e-4) and found[0][1] == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_lists_meet_in_blocks_and_copies_tie_by_id(spark, monkeypatch, metric):
+    """Many blocks, groups and pieces give what brute force over the probed lists gives; copies have one score, whatever their place."""
+    x = np.repeat(clustered(120), 5, 0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (9000, [1.0]), (9001, None)], "vec_id bigint, data array<double>")
+    for name, value in {"QUERY_BLOCK": 7, "MEETING": 2, "GROUP_ROWS": 50, "SCORES": 100}.items():
+        monkeypatch.setattr(search, name, value)
+    index = vectors.Partitions(df, x[:30:5].tolist())
+    got, c = {}, x[:30:5]
+    for r in index.knn_join(df.where("vec_id % 4 = 0"), 7, metric, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+    first = np.arange(len(x)) // 5 * 5  # one of the copies, so that brute force has ties too
+    for i in range(0, 600, 4):
+        lists = set(np.argsort(((c - x[i]) ** 2).sum(1))[:3].tolist())
+        far = vectors._distances(x, x[i], metric)[first]
+        alive = {k for k in range(600) if own[k] in lists and k != i}
+        assert got[i] == [k for k in np.lexsort((np.arange(600), far)).tolist() if k in alive][:7]
+    assert set(got) == set(range(0, 600, 4))
