@@ -271,3 +271,10 @@ def test_lists_meet_in_blocks_and_copies_tie_by_id(spark, monkeypatch, metric):
         alive = {k for k in range(600) if own[k] in lists and k != i}
         assert got[i] == [k for k in np.lexsort((np.arange(600), far)).tolist() if k in alive][:7]
     assert set(got) == set(range(0, 600, 4))
+
+
+def test_lists_do_not_pair_rows_in_the_plan(spark, tmp_path):
+    """The search has no join of queries with rows, whose output would be all pairs."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(50))], "vec_id bigint, data array<double>")
+    plan = vectors.Partitions(df, lists=2).knn_join(df, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_part" not in plan
