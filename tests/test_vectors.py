@@ -278,3 +278,22 @@ def test_lists_do_not_pair_rows_in_the_plan(spark, tmp_path):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(50))], "vec_id bigint, data array<double>")
     plan = vectors.Partitions(df, lists=2).knn_join(df, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "_part" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_nearest_rows_hold_a_bounded_number_of_values(metric):
+    """A block of queries holds some bytes a score, however many rows come at once, copies of one vector among them."""
+    import tracemalloc
+
+    x = clustered(6000, 8)
+    x[1000:3000] = x[1000]
+    best = search._Best(np.arange(1000), x[:1000], 3, metric)
+    tracemalloc.start()
+    best.add(np.arange(6000), x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 8 * search.SCORES
+    for i in (0, 7, 999):
+        far = vectors._distances(x, x[i], metric)
+        far[i] = np.inf
+        assert np.allclose(np.sort(far)[:3], np.sort(far[best.names[best.at == i]])) and len(set(best.names[best.at == i])) == 3
