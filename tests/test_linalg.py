@@ -108,3 +108,18 @@ def test_matrix_facts():
     f = L.matrix_facts(np.eye(3))
     assert f["is_positive_definite"] and f["is_orthogonal"] and f["is_diagonal"] and f["determinant"] == 1
     assert L.matrix_facts(np.outer([1.0, 2], [1, 2]))["rank"] == 1 and "trace" not in L.matrix_facts(A)
+
+
+def test_results_of_a_kernel_go_out_in_pieces(monkeypatch):
+    """A batch whose results are large is never held as a whole; rows that fail or are null stay in their place."""
+    import pandas as pd
+
+    monkeypatch.setattr(L.F, "pandas_udf", lambda kind: lambda f: lambda *columns: f)
+    monkeypatch.setattr(L, "PIECE", 100_000)
+    run = L.array_udf(lambda a: np.diag(np.linalg.inv(a).ravel()), "data", shapes=[[8, 8]])
+    rows = [(np.eye(8) * (i + 1)).ravel() if i % 9 else None for i in range(40)] + [np.zeros(64), np.zeros(3)]
+    pieces = list(run(iter([pd.Series(rows[:30], dtype="object"), pd.Series(rows[30:], dtype="object"), pd.Series([], dtype="object")])))
+    assert max(sum(x.nbytes for x in p if x is not None) for p in pieces) < 100_000 + 8 * 64 * 64
+    out = [x for p in pieces for x in p]
+    assert len(out) == 42 and out[-1] is None and out[-2] is None
+    assert all(x is None if i % 9 == 0 else np.allclose(x[0], 1 / (i + 1)) and len(x) == 4096 for i, x in enumerate(out[:40]))
