@@ -21,6 +21,8 @@ from tensorloom.sources.cut import written
 #: Rows of a shard and of a group of the graph, neighbours of a node, candidates of its building and searching, and slack of its pruning.
 SHARD_ROWS, GROUP_ROWS = 100_000, 4_000
 DEGREE, BEAM, ALPHA = 16, 64, 1.2
+#: Rows that are linked, and queries that are walked, at once.
+BLOCK = 256
 
 
 def sized(vectors: DataFrame, dim: int | None, data: str = "data") -> DataFrame:
@@ -130,9 +132,21 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return ((x - q) ** 2).sum(-1)
     product = x @ q
+    if metric == "unit":
+        return 1 - product
     return -product if metric == "dot" else 1 - product / np.maximum(np.linalg.norm(x, axis=-1) * np.linalg.norm(q), 1e-300)
 
 
+def _unit(x: np.ndarray, metric: str) -> tuple[np.ndarray, str]:
+    """For cosine, rows of length 1 (or 0), whose distance is one product."""
+    return (x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-150), "unit") if metric == "cosine" else (x, metric)
+
+
+def _all_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    product = q @ x.T
+    return (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * product if metric == "l2" else -product if metric == "dot" else 1 - product
+
+
 def beam(x: np.ndarray, edges: list[np.ndarray], start: int, q: np.ndarray, width: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search from a start node: the ``width`` closest nodes met and their distances."""
     seen = {start}
@@ -174,24 +188,79 @@ def pruned(x: np.ndarray, node: int, candidates: np.ndarray, far: np.ndarray, de
 
 
 def graph_of(x: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha: float = ALPHA, metric: str = "cosine", seed: int = 0) -> tuple[list[np.ndarray], int]:
-    """Neighbours of each row and the start node (the one closest to the mean): rows come in one by one, in a random order."""
+    """Neighbours of each row and the start node (the one closest to the mean).
+
+    Rows come in in a random order: each is linked with some of the ``width`` closest of those before it, and these
+    with it. The closest are found by products of matrices, for a block of rows at once.
+    """
     n = len(x)
     rng = np.random.default_rng(seed)
     start = int(np.argmin(_distances(x, x.mean(0), "l2")))
+    x, metric = _unit(x, metric)
+    order = rng.permutation(n)
+    order = np.append(start, order[order != start])
     edges: list[np.ndarray] = [np.zeros(0, int) for _ in range(n)]
-    inserted = [start]
-    for node in rng.permutation(n).tolist():
-        if node == start:
-            continue
-        found, far = beam(x, edges, start, x[node], width, metric)
-        edges[node] = pruned(x, node, found, far, degree, alpha, metric)
-        for other in edges[node].tolist():
-            own = np.append(edges[other], node)
-            edges[other] = own if len(own) <= degree else pruned(x, other, own, _distances(x[own], x[other], metric), degree, alpha, metric)
-        inserted.append(node)
+    back: list[list[int]] = [[] for _ in range(n)]
+    for low in range(1, n, BLOCK):
+        high = min(low + BLOCK, n)
+        far = _all_distances(x[order[low:high]], x[order[:high]], metric)
+        far[np.arange(high) >= np.arange(low, high)[:, None]] = np.inf
+        near = np.argpartition(far, width - 1, axis=1)[:, :width] if high > width else np.broadcast_to(np.arange(high), far.shape)
+        for row, own in enumerate(near):
+            node, own = int(order[low + row]), own[np.isfinite(far[row, own])]
+            edges[node] = pruned(x, node, order[own], far[row, own], degree, alpha, metric)
+            for other in edges[node].tolist():
+                back[other].append(node)
+    for node in range(n):
+        own = np.append(edges[node], np.array(back[node], int))
+        edges[node] = own if len(own) <= degree else pruned(x, node, own, _distances(x[own], x[node], metric), degree, alpha, metric)
     return edges, start
 
 
+def beams(x: np.ndarray, edges: list, start: int, q: np.ndarray, width: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """``beam`` for each row of q, all a step at a time: nodes and distances, filled up with len(x) and infinity."""
+    n, (q, metric), x = len(x), _unit(q, metric), _unit(x, metric)[0]
+    table = np.full((n + 1, max(1, max(len(e) for e in edges))), n)
+    for node, own in enumerate(edges):
+        table[node, : len(own)] = own
+    x = np.vstack([x, np.zeros((1, x.shape[1]))])
+    pool, far, open_ = np.full((len(q), width), n), np.full((len(q), width), np.inf), np.zeros((len(q), width), bool)
+    pool[:, 0], far[:, 0], open_[:, 0] = start, _distances(q, x[start], metric), True
+    seen = np.zeros((len(q), n + 1), bool)
+    seen[:, [start, n]] = True
+    active = np.arange(len(q))
+    while len(active):
+        first = open_[active].argmax(1)
+        left = open_[active, first]
+        active, first = active[left], first[left]
+        open_[active, first] = False
+        new = table[pool[active, first]]
+        fresh = ~seen[active[:, None], new]
+        seen[active[:, None], new] = True
+        some = fresh.any(1)
+        own, new, fresh = active[some], new[some], fresh[some]
+        d = _distances(x[new], q[own][:, None], metric) if metric == "l2" else np.matmul(x[new], q[own][:, :, None])[:, :, 0]
+        d = d if metric == "l2" else -d if metric == "dot" else 1 - d
+        nodes, d = np.hstack([pool[own], np.where(fresh, new, n)]), np.hstack([far[own], np.where(fresh, d, np.inf)])
+        order = np.lexsort((nodes, d), axis=1)[:, :width]
+        pool[own], far[own] = np.take_along_axis(nodes, order, 1), np.take_along_axis(d, order, 1)
+        open_[own] = np.take_along_axis(np.hstack([open_[own], fresh]), order, 1)
+    return pool, far
+
+
+def _groups_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one group after the other, from batches in order of the group."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for name, rows in batch.groupby("grp", sort=False):
+            if held and held[0]["grp"].iloc[0] != name:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class Graph:
     """A neighbour graph over groups of at most about ``group_rows`` rows, stored as (group, key, data, neighbours, start).
 
@@ -234,26 +303,40 @@ class Graph:
     def search(self, queries: DataFrame, k: int = 10, width: int = BEAM) -> DataFrame:
         """(query_id, key, distance, rank) of about the k nearest live rows of each query (query_id, data), a bounded stated set.
 
-        Every group answers with its ``width`` closest; what is removed goes before the groups' answers are merged.
+        Every group finds its ``width`` closest; of these, a task keeps the k best that aren't removed, over all its groups.
         """
         found = queries.select("query_id", F.col("data").cast("array<double>")).toPandas()
-        ids, points = found["query_id"].to_numpy(), [np.asarray(v, float) for v in found["data"]]
         key, metric = self.key, self.metric
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("at", ignore_index=True)
-            x, edges = np.stack(rows["data"].to_numpy()), rows["neighbours"].tolist()
-            out = []
-            for i, q in zip(ids, points):
-                if len(q) == x.shape[1]:
-                    near, far = beam(x, edges, int(rows["start"].iloc[0]), q, width, metric)
-                    out.append(pd.DataFrame({"query_id": i, key: rows[key].to_numpy()[near], "distance": far}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "distance": []})
+        sizes = found["data"].map(len).to_numpy() if len(found) else np.zeros(0, int)
+        asked = {int(d): (np.flatnonzero(sizes == d), np.stack(found["data"][sizes == d].to_numpy()).astype(float)) for d in np.unique(sizes)}
+        ids = found["query_id"].to_numpy()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best, names = {d: np.full((len(q), k), np.inf) for d, (_, q) in asked.items()}, {}
+            for rows in _groups_of(batches):
+                x, edges, own = np.stack(rows["data"].to_numpy()), rows["neighbours"].tolist(), np.append(rows[key].to_numpy(), rows[key].iloc[0])
+                d, dead = x.shape[1], np.append(rows["_gone"].to_numpy(bool), True)
+                if d not in asked:
+                    continue
+                q = asked[d][1]
+                kept = names.setdefault(d, np.full((len(q), k), own[0]))
+                for low in range(0, len(q), BLOCK):
+                    near, far = beams(x, edges, int(rows["start"].iloc[0]), q[low : low + BLOCK], width, metric)
+                    part = slice(low, low + BLOCK)
+                    every, who = np.hstack([best[d][part], np.where(dead[near], np.inf, far)]), np.hstack([kept[part], own[near]])
+                    order = np.lexsort((who, every), axis=1)[:, :k]
+                    best[d][part], kept[part] = np.take_along_axis(every, order, 1), np.take_along_axis(who, order, 1)
+            for d, kept in names.items():
+                ok = np.isfinite(best[d])
+                yield pd.DataFrame({"query_id": np.repeat(ids[asked[d][0]], ok.sum(1)), key: kept[ok], "distance": best[d][ok]})
 
         graph = self.spark.read.schema(self.schema).parquet(f"{self.folder}/graph")
-        hits = graph.groupBy("grp").applyInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {self.kind}, distance double")
         if self._exists("gone"):
-            hits = hits.join(self.spark.read.parquet(f"{self.folder}/gone"), key, "left_anti")
+            gone = self.spark.read.parquet(f"{self.folder}/gone").distinct().withColumn("_gone", F.lit(True))
+            graph = graph.join(gone, key, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+        else:
+            graph = graph.withColumn("_gone", F.lit(False))
+        hits = graph.repartition("grp").sortWithinPartitions("grp", "at").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {self.kind}, distance double")
         order = Window.partitionBy("query_id").orderBy("distance", key)
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -297,3 +297,14 @@ def test_nearest_rows_hold_a_bounded_number_of_values(metric):
         far = vectors._distances(x, x[i], metric)
         far[i] = np.inf
         assert np.allclose(np.sort(far)[:3], np.sort(far[best.names[best.at == i]])) and len(set(best.names[best.at == i])) == 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_walks_of_many_queries_equal_single_ones(metric):
+    x = clustered(400)
+    edges, start = vectors.graph_of(x, metric=metric)
+    assert max(len(e) for e in edges) <= vectors.DEGREE and all(len(set(e.tolist())) == len(e) and i not in e for i, e in enumerate(edges))
+    pool, far = vectors.beams(x, edges, start, x[:70], 40, metric)
+    for i in range(70):
+        nodes, d = vectors.beam(x, edges, start, x[i], 40, metric)
+        assert np.allclose(far[i][: len(d)], d) and len(set(pool[i].tolist()) & set(nodes.tolist())) >= len(nodes) - 1
