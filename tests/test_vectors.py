@@ -308,3 +308,22 @@ def test_walks_of_many_queries_equal_single_ones(metric):
     for i in range(70):
         nodes, d = vectors.beam(x, edges, start, x[i], 40, metric)
         assert np.allclose(far[i][: len(d)], d) and len(set(pool[i].tolist()) & set(nodes.tolist())) >= len(nodes) - 1
+
+
+def test_a_task_of_the_graph_search_answers_once_for_a_query(spark, tmp_path, monkeypatch):
+    """What goes to the merge grows with the tasks, not with the groups."""
+    x = clustered(600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, data array<double>")
+    graph = vectors.Graph(spark, f"file://{tmp_path}/g", group_rows=50)
+    graph.insert(df)
+    graph.remove(df.where("vec_id % 2 = 0"))
+    frames = []
+    real = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **b: frames.append(real(self, *a, **b)) or frames[-1])
+    graph.search(df.where("vec_id < 30").withColumnRenamed("vec_id", "query_id"), 5)
+    hits = frames[0].withColumn("p", F.spark_partition_id()).collect()
+    per = {}
+    for r in hits:
+        per[r.p, r.query_id] = per.get((r.p, r.query_id), 0) + 1
+        assert r.vec_id % 2 == 1
+    assert max(per.values()) == 5 and len({q for _, q in per}) == 30
