@@ -185,17 +185,17 @@ def mode_product_1(spark, sf):
 
 
 def _positive(a: np.ndarray) -> np.ndarray:
-    """The outer product of the absolute sums over all but one dimension."""
-    return np.einsum("i,j,k->ijk", *(np.abs(a.sum(d)) for d in ((1, 2), (0, 2), (0, 1))))
+    """The outer product of the absolute sums over all but one of the last three dimensions."""
+    return np.einsum("...i,...j,...k->...ijk", *(np.abs(a.sum(d)) for d in ((-2, -1), (-3, -1), (-3, -2))))
 
 
-for _name, _kernel in {
-    "nn_cp_rank_one": lambda a: linalg.from_cp(linalg.cp(_positive(a), 1, 400, nonnegative=True)),
-    "nn_tucker_rank_one": lambda a: linalg.from_tucker(*linalg.tucker(_positive(a), [1, 1, 1], 3, nonnegative=True)),
+for _name, (_udf, _kernel) in {
+    "nn_cp_rank_one": (linalg.array_udf, lambda a: linalg.from_cp(linalg.cp(_positive(a), 1, 400, nonnegative=True))),
+    "nn_tucker_rank_one": (linalg.stacked_udf, lambda a: linalg.from_tuckers(*linalg.tuckers(_positive(a), [1, 1, 1], 3, nonnegative=True))),
 }.items():
 
-    def _run(spark, sf, kernel=_kernel):
-        return base.cells(model.vectors(spark, sf).select("vec_id", linalg.array_udf(kernel, "data", shapes=[[4, 4, 4]]).alias("data")), digits=4)
+    def _run(spark, sf, udf=_udf, kernel=_kernel):
+        return base.cells(model.vectors(spark, sf).select("vec_id", udf(kernel, "data", shapes=[[4, 4, 4]]).alias("data")), digits=4)
 
     _run.__name__ = _name
     query(f"WITH {base.CELLS}, {tables._MARGINS} SELECT vec_id, i * 16 + j * 4 + k AS pos, round(abs(x) * abs(y) * abs(z), 4) AS value FROM x JOIN y USING (vec_id) JOIN z USING (vec_id)")(_run)

@@ -297,11 +297,11 @@ def det_8x8(spark, sf):
 # decompositions, multiplied out again: each element is compared, and facts of the factors beside it
 
 
-def _again(kernel, sql: str = "v", shape=(4, 4, 4), size: int = 64):
+def _again(kernel, sql: str = "v", shape=(4, 4, 4), size: int = 64, udf=linalg.array_udf):
     """A query of what the kernel makes of each vector, element by element, against an SQL expression of pos and v."""
 
     def run(spark, sf):
-        return base.cells(model.vectors(spark, sf).select("vec_id", linalg.array_udf(kernel, "data", shapes=[list(shape)]).alias("data")))
+        return base.cells(model.vectors(spark, sf).select("vec_id", udf(kernel, "data", shapes=[list(shape)]).alias("data")))
 
     return run, sql
 
@@ -358,8 +358,8 @@ def _partial(a):
 
 
 def _rank_one(a):
-    """The outer product of the tensor's sums over all but one dimension: of rank one in every sense."""
-    return np.einsum("i,j,k->ijk", a.sum((1, 2)), a.sum((0, 2)), a.sum((0, 1)))
+    """The outer product of the tensor's sums over all but one of the last three dimensions: of rank one in every sense."""
+    return np.einsum("...i,...j,...k->...ijk", a.sum((-2, -1)), a.sum((-3, -1)), a.sum((-3, -2)))
 
 
 _MARGINS = "x AS (SELECT vec_id, pos // 16 AS i, sum(v) AS x FROM c GROUP BY ALL), y AS (SELECT vec_id, pos // 4 % 4 AS j, sum(v) AS y FROM c GROUP BY ALL), z AS (SELECT vec_id, pos % 4 AS k, sum(v) AS z FROM c GROUP BY ALL)"
@@ -379,12 +379,12 @@ for _name, (_run, _sql) in {
 # truncated ranks: what has rank one comes back whole from factors of rank one
 for _name, _kernel in {
     "cp_rank_one": lambda a: linalg.from_cp(linalg.cp(_rank_one(a), 1)),
-    "tucker_rank_one": lambda a: linalg.from_tucker(*linalg.tucker(_rank_one(a), [1, 1, 1], 2)),
+    "tucker_rank_one": lambda a: linalg.from_tuckers(*linalg.tuckers(_rank_one(a), [1, 1, 1], 2)),
     "tt_rank_one": lambda a: linalg.from_train(linalg.tensor_train(_rank_one(a), 1)),
     "ht_rank_one": lambda a: linalg.from_hierarchical(linalg.hierarchical_tucker(_rank_one(a), 1), a.shape),
-    "block_terms_rank_one": lambda a: sum(linalg.from_tucker(*t) for t in linalg.block_terms(_rank_one(a), [(1, 1, 1)])),
+    "block_terms_rank_one": lambda a: sum(linalg.from_tuckers(*t) for t in linalg.block_terms_of(_rank_one(a), [(1, 1, 1)])),
 }.items():
-    _run, _ = _again(_kernel)
+    _run, _ = _again(_kernel, udf=linalg.stacked_udf if _name in ("tucker_rank_one", "block_terms_rank_one") else linalg.array_udf)
     _run.__name__ = _name
     query(f"WITH {base.CELLS}, {_MARGINS} SELECT vec_id, i * 16 + j * 4 + k AS pos, round(x * y * z, 6) + 0 AS value FROM x JOIN y USING (vec_id) JOIN z USING (vec_id)")(_run)
 

@@ -123,3 +123,22 @@ def test_results_of_a_kernel_go_out_in_pieces(monkeypatch):
     out = [x for p in pieces for x in p]
     assert len(out) == 42 and out[-1] is None and out[-2] is None
     assert all(x is None if i % 9 == 0 else np.allclose(x[0], 1 / (i + 1)) and len(x) == 4096 for i, x in enumerate(out[:40]))
+
+
+def test_stacks_give_what_single_tensors_give(monkeypatch):
+    """One call of the kernel serves many rows; a row that fails, or is null, spoils no other."""
+    import pandas as pd
+
+    monkeypatch.setattr(L.F, "pandas_udf", lambda kind: lambda f: lambda *columns: f)
+    calls = []
+
+    def kernel(a):
+        calls.append(len(a))
+        return L.from_tuckers(*L.tuckers(a, [2, 2, 1], 3, nonnegative=True))
+
+    x = np.abs(RNG.standard_normal((600, 4, 3, 5)))
+    rows = [v.ravel() for v in x] + [None, -x[0].ravel(), np.zeros(3)]
+    out = [y for p in L.stacked_udf(kernel, "data", shapes=[[4, 3, 5]])(iter([pd.Series(rows, dtype="object")])) for y in p]
+    assert len(calls) < 60 and len(out) == 603 and out[600] is None and out[601] is None and out[602] is None
+    for i in (0, 511, 512, 599):
+        assert np.allclose(out[i], L.from_tucker(*L.tucker(x[i], [2, 2, 1], 3, nonnegative=True)).ravel())
