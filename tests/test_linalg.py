@@ -142,3 +142,13 @@ def test_stacks_give_what_single_tensors_give(monkeypatch):
     assert len(calls) < 60 and len(out) == 603 and out[600] is None and out[601] is None and out[602] is None
     for i in (0, 511, 512, 599):
         assert np.allclose(out[i], L.from_tucker(*L.tucker(x[i], [2, 2, 1], 3, nonnegative=True)).ravel())
+
+
+def test_block_terms_of_stacks():
+    x = RNG.standard_normal((7, 4, 3, 5))
+    terms = L.block_terms_of(x, [(1, 2, 1), (2, 1, 2)])
+    for i in range(7):
+        for (core, factors), (own, own_factors) in zip(terms, L.block_terms(x[i], [(1, 2, 1), (2, 1, 2)])):
+            assert np.allclose(L.from_tuckers(core, factors)[i], L.from_tucker(own, own_factors))
+    with pytest.raises(ValueError):
+        L.tuckers(x, [9, 1, 1])
