@@ -11,6 +11,8 @@ OPERATIONS = "operation_id string, operation_type string, status string, started
 EDGES = "child long, parent long, operation_id string"
 #: Steps whose tables a closure reads one by one; then they become one table.
 MERGED = 16
+#: Pairs that one node may make in one task of a doubling, and pairs whose least depths a task finds.
+PART, ROWS = 100_000, 1 << 19
 
 
 def _closure(edges: DataFrame, start: DataFrame, source: str, target: str, depth: int | None) -> DataFrame:
@@ -36,13 +38,29 @@ def _doubled(ways: DataFrame, depth: int | None) -> DataFrame:
         # a way longer than reach begins with one of just reach steps
         first = pairs.where(F.col("depth") == reach).select("origin", F.col("node").alias("_by"))
         rest = pairs.select(F.col("origin").alias("_by"), "node", F.col("depth").alias("_more"))
-        longer = first.join(rest, "_by").select("origin", "node", (F.lit(reach) + F.col("_more")).alias("depth")).where("origin <> node")
-        before, pairs = pairs, written(pairs.union(longer).groupBy("origin", "node").agg(F.min("depth").alias("depth")), "lineage")
+        joined, n = _by_parts(first, rest)
+        longer = joined.select("origin", "node", (F.lit(reach) + F.col("_more")).alias("depth")).where("origin <> node")
+        # no combining on the map side, which rarely finds a pair twice and holds all pairs of a task
+        dealt = pairs.union(longer).repartition(-(-(pairs.count() + n) // ROWS), "origin", "node")
+        before, pairs = pairs, written(dealt.groupBy("origin", "node").agg(F.min("depth").alias("depth")), "lineage")
         forget(before)
         reach *= 2
     return pairs if depth is None else pairs.where(F.col("depth") <= depth)
 
 
+def _by_parts(first: DataFrame, rest: DataFrame) -> tuple[DataFrame, int]:
+    """The join on _by and its number of rows, where the rows of a node that makes more than PART pairs are dealt to parts of about that many.
+
+    Late rounds pass through a few nodes near the roots, each with very many rows; their pairs would lie in few tasks.
+    """
+    n = written(first.groupBy("_by").agg(F.count("*").alias("_n")).join(rest.groupBy("_by").agg(F.count("*").alias("_m")), "_by"), "lineage")
+    # at most a PARTth of the pairs has rows here
+    many = F.broadcast(written(n.where(F.col("_n") * F.col("_m") > PART).select("_by", F.ceil(F.col("_n") * F.col("_m") / PART).cast("int").alias("_parts")), "lineage"))
+    dealt = first.join(many, "_by", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("origin"), "_parts"), F.lit(0).cast("long"))).drop("_parts")
+    every = rest.join(many, "_by", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1))).drop("_parts")
+    return dealt.join(every, ["_by", "_part"]), n.agg(F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0))).first()[0]
+
+
 def _breadth_first(ways: DataFrame, frontier: DataFrame, depth: int | None) -> DataFrame:
     """Step by step; known nodes aren't visited again, and it ends when a step reaches nothing new."""
     found, step = frontier, 0

@@ -260,3 +260,30 @@ def test_lineage_of_a_long_chain(spark):
     assert sorted(r.depth for r in lineage.ancestors(edges, end).collect()) == list(range(1, 71))
     assert lineage.recursive_closure(spark, edges, 70, depth=5).count() == 5
     assert lineage.shortest_path(spark, edges, 52, 70).first().nodes == list(range(52, 71))
+
+
+def test_a_closure_deals_the_pairs_of_a_node(spark, monkeypatch):
+    """A node that many ways pass through makes its pairs in several parts; the depths are those of the whole."""
+    from tensorloom.operators import lineage
+
+    monkeypatch.setattr(lineage, "PART", 40)
+    monkeypatch.setattr(lineage, "ROWS", 500)
+    chain = [(i, i + 1) for i in range(12)] + [(100 + i, 0) for i in range(90)] + [(12, 5), (3, 7)]
+    edges = spark.createDataFrame(chain, "child long, parent long")
+    first = spark.createDataFrame(chain, "origin long, _by long").where("_by = 0")
+    rest = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (5, 6, 1)], "_by long, node long, _more int")
+    joined, n = lineage._by_parts(first, rest)
+    rows = joined.collect()
+    assert n == len(rows) == len({(r.origin, r.node) for r in rows}) == 180 and len({r._part for r in rows}) > 2
+    got = {(r.origin, r.node): r.depth for r in lineage.ancestors(edges, edges.select(F.col("child").alias("node")).distinct()).collect()}
+    ways, want = {}, {}
+    for c, p in chain:
+        ways.setdefault(c, []).append(p)
+    for origin in ways:
+        level, depth, met = {origin}, 0, {origin}
+        while level:
+            depth += 1
+            level = {p for c in level for p in ways.get(c, [])} - met
+            met |= level
+            want |= {(origin, p): depth for p in level}
+    assert got == want
