@@ -256,7 +256,7 @@ class PostingIndex(Index):
             return super().insert(entries)
         if self._exists("rows"):
             self.remove(entries.select(self.key))
-        super().insert(search.postings(entries, text, self.key))
+        super().insert(search.counted_tokens(entries, text, self.key))  # laid_out sorts them
 
     def laid_out(self, entries: DataFrame) -> tuple[DataFrame, list[str]]:
         return entries.repartitionByRange("token", self.key).sortWithinPartitions("token", self.key), []

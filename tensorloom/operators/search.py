@@ -284,8 +284,12 @@ def full_text(documents: DataFrame, query: str, text: str = "text", key: str = "
 
 def postings(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(token, key, n), to be written sorted by token: a search then reads the row groups of its tokens."""
-    counted = documents.select(key, F.explode(tokens(text)).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
-    return counted.repartitionByRange("token", key).sortWithinPartitions("token", key)
+    return counted_tokens(documents, text, key).repartitionByRange("token", key).sortWithinPartitions("token", key)
+
+
+def counted_tokens(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(token, key, n) in no order."""
+    return documents.select(key, F.explode(tokens(text)).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
 
 
 def posting_search(table: DataFrame, query: str, key: str = "doc_id", k: int = 0) -> DataFrame:

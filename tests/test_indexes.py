@@ -84,3 +84,15 @@ def test_builder_orders_conditions_and_intersects(spark, rows, tmp_path):
     assert ids(builder.execute()) == [1] and ids(builder.execute_any()) == [1, 2, 4]
     with pytest.raises(ValueError):
         indexes.QueryBuilder("id").execute()
+
+
+def test_postings_are_dealt_and_sorted_once(spark, tmp_path, monkeypatch):
+    """What an insert writes passes one exchange by ranges, not one more before it."""
+    plans = []
+    laid = indexes.PostingIndex.laid_out
+    monkeypatch.setattr(indexes.PostingIndex, "laid_out", lambda self, entries: plans.append(laid(self, entries)) or plans[-1])
+    index = indexes.PostingIndex(spark, f"file://{tmp_path}/words")
+    index.insert(spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string"))
+    plan = plans[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Sort [") == 1
+    assert {(r.doc_id, round(r.score, 2)) for r in index.scores("b a").collect()} == {(1, 2.03), (2, 1.01)}
